@@ -12,6 +12,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gzframe.llm.ngram_join import join_components
+
+    return join_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gzframe.llm.toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gzframe.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gzframe.llm.vector_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +45,24 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gzframe.llm.decontamination import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gzframe.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gzframe.llm.pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gzframe.llm.mixing import Mix
 
@@ -28,7 +70,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_files, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_license_scan, op4_vector_dedup, op5_token_files, op7_decontamination, op8_language_id, op9_pii_surrogates, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,59 @@
+import re
+
+from gzframe.llm import pii
+from tests.llm.fixtures import DOCS, rows
+
+TEXT = 'Mr. John Smith (john.smith@mail.example.org) called +1 (212) 555-0147 from 10.20.30.40; card 4539 1488 0343 6467, token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567". Mrs Anna Berg and Mr Smith paid with 4539148803436467.'
+
+
+def luhn(number):
+    d = [int(c) for c in re.sub(r"\D", "", number)]
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def test_surrogates_keep_type_and_coreference(spark):
+    frame = spark.createDataFrame([(1, TEXT), (2, "write to JOHN.SMITH@mail.example.org or 10.20.30.40"), (3, "господин Иван Петров, Herr Müller")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(frame).collect()}
+    t = got[1].text
+    for gone in ("Smith", "Anna", "Berg", "john", "555-0147", "10.20.30.40", "4539", "0a1b2c"):
+        assert gone not in t
+    assert got[1].kinds == "address,card,email,person,phone,secret"
+    assert len(t.split()) == len(TEXT.split())
+    mail = re.search(r"\((\S+@\S+\.org)\)", t)[1]
+    assert mail.lower() in got[2].text.lower()
+    address = re.search(r"(?:\d+\.){3}\d+", t)[0]
+    assert address in got[2].text and all(0 <= int(x) <= 255 for x in address.split("."))
+    spaced = re.search(r"\d{4} \d{4} \d{4} \d{4}", t)[0]
+    assert luhn(spaced) and spaced.replace(" ", "") in t.split("paid with ")[1]
+    assert re.search(r'token = "[0-9a-f]{40}"', t) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", t)
+    first = re.search(r"Mr\. (\w+) \w+", t)[1]
+    assert first in pii.GIVEN["m", "latin"] and re.search(r"Mrs (\w+) ", t)[1] in pii.GIVEN["f", "latin"]
+    assert re.search(r"господин [А-Я][а-я]+ [А-Я][а-я]+", got[3].text)
+    assert pii.pseudonymise(frame, key="other").where("doc_id = 1").first().text != t
+
+
+def test_surrogates_are_distinct(spark, monkeypatch):
+    docs = [(i, f"Mr Name{chr(97 + i // 26)}{chr(97 + i % 26)} at 1.2.3.{i % 10}, 7.{i % 10}.2.1 and 9.9.9.{i % 10}") for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for rows_ in (200, 0):
+        monkeypatch.setattr(pii, "MAP_ROWS", rows_)
+        pairs = {}
+        for r in pii.pseudonymise(frame).collect():
+            a = re.findall(r"Mr \w+|(?:\d+\.){3}\d+", docs[r.doc_id][1])
+            b = re.findall(r"Mr \w+|(?:\d+\.){3}\d+", r.text)
+            assert len(a) == len(b) == 4
+            for x, y in zip(a, b, strict=True):
+                assert pairs.setdefault(x, y) == y
+        assert len(set(pairs.values())) == len(pairs)
+        assert not set(pairs) & set(pairs.values())
+
+
+def test_odd_rows(spark):
+    frame = spark.createDataFrame([*rows(), (20, "a@b.co", "en", "a", 6, "s", "k")], DOCS)
+    got = pii.pseudonymise(frame)
+    assert got.columns == [*frame.columns, "n_entities", "kinds"]
+    by = {(r.doc_id): r for r in got.collect()}
+    assert got.count() == len(rows()) + 1
+    assert by[4].text is None and by[4].n_entities == 0 and by[5].text == "" and by[1].text == rows()[0][1]
+    assert by[20].n_entities == 1 and by[20].text.endswith(".co") and by[20].text != "a@b.co"
+    assert pii.pseudonymise(frame.limit(0)).count() == 0
