@@ -21,6 +21,7 @@ import json
 import os
 import zlib
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,11 @@ from gzframe.llm.common import fresh_path, local_path, partitions
 
 NULL_ID = -(2**63)
 #: Encoded words kept by a worker; the cache starts anew when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Words longer than this are encoded but not kept.
 CACHE_CHARS = 64
+#: Marks that a word can end with and that are always tokens of their own kind (no apostrophe, no special token's bracket).
+TAIL = ".,;:!?)]}%#*$&\"|"
 
 
 class WordEncoder:
@@ -42,36 +45,59 @@ class WordEncoder:
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.cache = Tokenizer.from_file(path), dtype, {}
+        self.tokenizer, self.dtype, self.cache, self.cores = Tokenizer.from_file(path), dtype, {}, {}
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encode ``words``; returns those too long to keep."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        once = {}
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: a lower-case word of letters alone is one piece for the library's model, others take its whole path."""
+        whole = [w for w in words if not (w.isalpha() and w.islower() and (w.isascii() or is_normalized("NFC", w)))]
+        ready = dict(zip(whole, self.encoded(whole), strict=True))
+        model, dtype = self.tokenizer.model, self.dtype
+        return [ready[w] if w in ready else np.array([t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(PRINTED))], dtype=dtype).tobytes() for w in words]
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        out = []
         for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                (self.cache if len(w) <= CACHE_CHARS else once)[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return once
+            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Put the ids of ``words`` in the cache, by their core and tail where that is exact."""
+        cores = self.cores
+        split = []
+        for w in words:
+            core = w.rstrip(TAIL)
+            # ASCII letters lose their case in the tokenizer too; a mark between core and tail would join the tail
+            if core and core.isascii() and core.isalnum():
+                split.append((core.lower(), w[len(core) :]))
+            elif core and core.isalnum():
+                split.append((core, w[len(core) :]))
+            else:
+                split.append((w, ""))
+        missing = list({x for pair in split for x in pair if x not in cores})
+        cores.update(zip(missing, self.ids_of(missing), strict=True))
+        self.cache.update((w, cores[a] + cores[b]) for w, (a, b) in zip(words, split, strict=True))
 
     def __call__(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        out, cache = [], self.cache
-        for text in texts:
-            words = text.translate(BLANKS).split(" ") if text else []
-            missing = list({w for w in words if w not in cache})
-            if missing:
-                once = self.learn(missing)
-                if once or any(w not in cache for w in words):
-                    lacking = [w for w in set(words) if w not in cache and w not in once]
-                    once |= {w: np.array(e.ids, dtype=self.dtype).tobytes() for w, e in zip(lacking, self.tokenizer.encode_batch(lacking, add_special_tokens=False), strict=True)} if lacking else {}
-                    out.append(b"".join([cache[w] if w in cache else once[w] for w in words]) + end)
-                    continue
-            out.append(b"".join(map(cache.__getitem__, words)) + end)
+        # str.split() ends words at all white space of the tokenizer and at 0x1C-0x1F, which are none for it
+        words = [t.split() if t and not any(c in t for c in "\x1c\x1d\x1e\x1f") else t.translate(BLANKS).split(" ") if t else [] for t in texts]
+        missing = set().union(*words).difference(self.cache)
+        if len(self.cache) + len(missing) > CACHE_WORDS:
+            self.cache, missing = {}, set().union(*words)
+        if len(self.cores) > CACHE_WORDS:
+            self.cores = {}
+        self.learn(list(missing))
+        get = self.cache.__getitem__
+        out = [b"".join(map(get, w)) + end for w in words]
+        for w in missing:
+            if len(w) > CACHE_CHARS:
+                del self.cache[w]
+                self.cores.pop(w, None)
         return out
 
 
-#: The ASCII white space, made plain blanks; str.split() alone would split at more.
+#: Byte-level alphabet: bytes without a printed form, in order, stand as the characters from 256 on.
+PRINTED = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: The ASCII white space, made plain blanks.
 BLANKS = {c: " " for c in range(0x09, 0x0E)}
 
 

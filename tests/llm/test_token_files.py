@@ -16,7 +16,7 @@ def whole(text):
 
 
 def test_words_give_the_ids_of_whole_texts(monkeypatch):
-    texts = [r[1] for r in rows()] + ["a\x1cb \x85c d <|STARTOFTEXT|>x<|startoftext|>", " ́a b́ I'll 5's", "İstanbul ΣΑΣ ﬁ"]
+    texts = [r[1] for r in rows()] + ["Word. WORD!! wörd, été?! x2. 12% a.b. (c) \"q\"|| don't. it's, ½. x² ٣٤. <|endoftext|>. Ǆ. ẞß! e\u0301. é\u0301, \u0301. ﬁ. a\u200b. b\ufe0f!", "a\x1cb \x85c d <|STARTOFTEXT|>x<|startoftext|>", " ́a b́ I'll 5's", "İstanbul ΣΑΣ ﬁ"]
     enc = WordEncoder(PATH, "<u2")
     for t, got in zip(texts, enc(texts, b""), strict=True):
         assert np.frombuffer(got, "<u2").tolist() == whole(t)
