@@ -45,6 +45,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gzframe.llm.katz import score
+
+    return score(_table(spark, sf_dir, "documents"), order=2)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gzframe.llm.decontamination import find_leaks
 
@@ -70,7 +76,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_license_scan, op4_vector_dedup, op5_token_files, op7_decontamination, op8_language_id, op9_pii_surrogates, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_license_scan, op4_vector_dedup, op5_token_files, op6_katz_backoff, op7_decontamination, op8_language_id, op9_pii_surrogates, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
