@@ -110,7 +110,7 @@ def _summaries(n: int, least_local: int):
     return run
 
 
-SIGNATURE = "doc_id long, n long, keys array<long>, short binary"
+SIGNATURE = "doc_id long, n long, cold long, keys array<long>, short binary"
 
 
 def _signatures(n: int, percent: int, extra: int, frequent):
@@ -120,7 +120,7 @@ def _signatures(n: int, percent: int, extra: int, frequent):
     def run(batches):
         hot, rank = frequent.value
         for batch in batches:
-            ids, keep, sizes, keys, short = batch.column(0).to_pylist(), [], [], [], []
+            ids, keep, sizes, rare, keys, short = batch.column(0).to_pylist(), [], [], [], [], []
             for i, h in enumerate(shingle_sets(batch.column(1).to_pylist(), n)):
                 if ids[i] is None or not len(h):
                     continue
@@ -133,11 +133,13 @@ def _signatures(n: int, percent: int, extra: int, frequent):
                     at[at == len(hot)] = 0
                     is_hot = hot[at] == h
                     cold = h[~is_hot]
+                    rare.append(len(cold))
                     h = cold[:length] if len(cold) >= length else np.concatenate([cold, h[is_hot][np.argsort(rank[at[is_hot]], kind="stable")]])[:length]
                 else:
+                    rare.append(len(h))
                     h = h[:length]
                 short.append(pack(np.ascontiguousarray(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "n", "keys", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "n", "cold", "keys", "short"])
 
     return run
 
@@ -152,24 +154,28 @@ def _deal(buckets: int):
             docs, sizes, comps = (batch.column(i).to_numpy() for i in range(3))
             lists = [unpack(b) for b in batch.column(3).to_pylist()]
             who = np.repeat(np.arange(len(docs)), [len(x) for x in lists])
+            place = np.concatenate([np.arange(len(x), dtype=np.uint32) for x in lists])
             h = np.concatenate(lists)
             bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((who, bucket))
-            h, who, bucket = h[order], who[order], bucket[order]
+            h, who, bucket, place = h[order], who[order], bucket[order], place[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = ([], [], [], [], [], [])
+            out = ([], [], [], [], [], [], [])
             for b in np.flatnonzero(np.diff(cut)):
                 w = who[cut[b] : cut[b + 1]]
                 own, count = np.unique(w, return_counts=True)
-                for column, value in zip(out, (int(b), docs[own].tobytes(), sizes[own].astype(np.int32).tobytes(), comps[own].tobytes(), count.astype(np.int32).tobytes(), pack(np.ascontiguousarray(h[cut[b] : cut[b + 1]]))), strict=True):
+                for column, value in zip(out, (int(b), docs[own].tobytes(), sizes[own].astype(np.int32).tobytes(), comps[own].tobytes(), count.astype(np.int32).tobytes(), pack(np.ascontiguousarray(h[cut[b] : cut[b + 1]])), place[cut[b] : cut[b + 1]].tobytes()), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["bucket", "docs", "sizes", "comps", "counts", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["bucket", "docs", "sizes", "comps", "counts", "hashes", "places"])
 
     return run
 
 
-def _merge(percent: int):
-    """Merge a bucket's inverted lists: (a, b, na, nb, common) of pairs that do not hang together yet."""
+def _merge(percent: int, extra: int):
+    """Merge a bucket's inverted lists: (a, b, na, nb, common) of pairs that do not hang together yet.
+
+    A common shingle counts where it stands early enough in both orders for a
+    pair of these sizes: the first 1 + extra common ones of a similar pair do."""
 
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
@@ -177,7 +183,7 @@ def _merge(percent: int):
         h = unpack(b"".join(table["hashes"].to_pylist()))
         who = np.repeat(np.arange(len(docs)), counts)
         order = np.lexsort((comps[who], h))
-        h, who = h[order], who[order]
+        h, who, place = h[order], who[order], join("places", np.uint32).astype(np.int64)[order]
         comp = comps[who]
         new_list = np.concatenate([[True], h[1:] != h[:-1]])
         new_comp = new_list | np.concatenate([[True], comp[1:] != comp[:-1]])
@@ -195,8 +201,9 @@ def _merge(percent: int):
             k = partners[some[i:j]]
             right = comp_end[left] + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
             a, b = who[left], who[right]
-            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            fits = 100 * small >= percent * large
+            na, nb = sizes[a], sizes[b]
+            short = -(-percent * (na + nb) // (100 + percent)) - 1 - extra
+            fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (place[left] < na - short) & (place[right] < nb - short)
             a, b = a[fits], b[fits]
             key = np.minimum(a, b) * len(docs) + np.maximum(a, b)
             key, common = np.unique(key, return_counts=True)
@@ -284,18 +291,18 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     return rows.mapInArrow(_verify(percent), "a long, b long")
 
 
-def join_components(docs: DataFrame, *, n: int = 4, percent: int = 85, extra: int = 2, frequent: int = 200_000) -> DataFrame:
+def join_components(docs: DataFrame, *, n: int = 4, percent: int = 85, extra: int = 2, frequent: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    found = written(docs.mapInArrow(_summaries(n, 3), "kind int, doc_id long, n long, f1 long, f2 long"), "join-summaries")
+    found = written(docs.mapInArrow(_summaries(n, 2), "kind int, doc_id long, n long, f1 long, f2 long"), "join-summaries")
     each = found.where("kind = 0").drop("kind")
     # exact copies: one class per set, named by its smallest id
     classes = each.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     same = each.where("n > 0 and doc_id is not null").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep")
-    hot = found.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("df")).where("df >= 8").orderBy(F.desc("df"), "f1").limit(frequent).collect()
-    values = np.array([r.f1 for r in hot], np.int64).view(np.uint64)
-    df = np.array([r.df for r in hot], np.int64)
+    hot = found.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("df")).where("df >= 8").orderBy(F.desc("df"), "f1").limit(frequent).toArrow()
+    values = hot["f1"].to_numpy().view(np.uint64)
+    df = hot["df"].to_numpy()
     order = np.argsort(values)
     sent = spark.sparkContext.broadcast((values[order], df[order]))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
@@ -303,8 +310,9 @@ def join_components(docs: DataFrame, *, n: int = 4, percent: int = 85, extra: in
     signed = written(signed.join(reps, "doc_id"), "join-signatures")
 
     # first round: pivots of minimum-hash keys
-    keyed = signed.select("doc_id", F.explode("keys").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("docs")).where("docs > 1").drop("docs")
+    # the document with the fewest rare shingles is nearest to the middle of its copies
+    keyed = signed.select("doc_id", "cold", F.explode("keys").alias("key"))
+    pivots = keyed.groupBy("key").agg(F.min(F.struct("cold", "doc_id")).doc_id.alias("pivot"), F.count("*").alias("docs")).where("docs > 1").drop("docs")
     stars = keyed.join(pivots, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     links = written(verified(docs, stars, n, percent), "join-links")
     first = written(connected_components(links, "join-components"), "join-first")
@@ -313,8 +321,8 @@ def join_components(docs: DataFrame, *, n: int = 4, percent: int = 85, extra: in
     total = signed.agg(F.sum(F.octet_length("short")) / 5).first()[0] or 0
     buckets = max(1, math.ceil(total / POSTINGS), min(partitions(spark), 8))
     labelled = signed.join(first, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "short")
-    dealt = labelled.mapInArrow(_deal(buckets), "bucket int, docs binary, sizes binary, comps binary, counts binary, hashes binary")
-    common = dealt.groupBy("bucket").applyInArrow(_merge(percent), PAIRS)
+    dealt = labelled.mapInArrow(_deal(buckets), "bucket int, docs binary, sizes binary, comps binary, counts binary, hashes binary, places binary")
+    common = dealt.groupBy("bucket").applyInArrow(_merge(percent, extra), PAIRS)
     summed = common.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     need = F.least(F.lit(1 + extra), F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent)))
     more = verified(docs, summed.where(F.col("common") >= need), n, percent)
