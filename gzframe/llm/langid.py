@@ -204,7 +204,10 @@ def train(docs: DataFrame, settings: Settings | None = None) -> LanguageModel:
     """Fit on labelled rows of ``docs`` (doc_id, text, lang); all of them are training rows."""
     s = settings or Settings()
     usable = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows).collect()
+    # ids first: a task then sends the driver a few numbers, not the texts of its own best rows
+    ids = usable.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows).collect()
+    few = docs.sparkSession.createDataFrame([(i,) for i in sorted({r.doc_id for r in ids})], "_id long")
+    sample = sorted(usable.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).drop("_id").limit(s.sample_rows).collect()) if ids else []
     if not sample:
         return LanguageModel([], np.zeros((1 << s.bits, 0), np.float32), np.zeros(0), s.bits)
     texts, df = document_frequencies(usable, s.bits)
