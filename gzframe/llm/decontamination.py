@@ -31,14 +31,15 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 SHINGLE = 5
 #: Items in a block of the index.
-BLOCK = 16
-WORD = re.compile(r"\w+")
+BLOCK = 4
+#: Words are runs of ASCII letters, digits and of all characters beyond ASCII, as UTF-8.
+BETWEEN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 HIT = "item_id long, passage long, bm25 double, question_overlap double, answer_overlap double"
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    return text.lower().encode("utf-8", "replace").translate(BETWEEN).split() if text else []
 
 
 def question_and_answer(text: str | None) -> tuple[str, str]:
@@ -47,7 +48,7 @@ def question_and_answer(text: str | None) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text or "", "")
 
 
-def shingles(words: list[str]) -> list[tuple[str, ...]]:
+def shingles(words: list[bytes]) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))] if words else []
 
 
@@ -64,7 +65,7 @@ class Index:
                 self.question.append(len(q))
                 self.words.append(w)
         n = len(self.ids)
-        terms: dict[str, dict[int, int]] = {}
+        terms: dict[bytes, dict[int, int]] = {}
         for i, w in enumerate(self.words):
             for t in w:
                 at = terms.setdefault(t, {})
@@ -93,6 +94,11 @@ class Index:
         self.threshold = own * reach * (1 - 1e-5)
         self.block_least = np.array([self.threshold[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.blocks)])
         self.least = self.threshold.min() if n else np.inf
+        # the same postings by block of items, for scoring a block that survives
+        of = np.repeat(np.arange(len(terms)), np.diff(self.start))
+        by = np.argsort(self.items, kind="stable")
+        cut = np.searchsorted(self.items[by], np.arange(0, (self.blocks + 1) * BLOCK, BLOCK))
+        self.in_block = [(of[k], self.items[k] - b * BLOCK, self.impacts[k]) for b in range(self.blocks) for k in [by[cut[b] : cut[b + 1]]]]
         self.stride = max([64, *map(len, self.words)])
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
@@ -101,16 +107,14 @@ class Index:
         alive = np.flatnonzero(bounds[: self.blocks] >= self.block_least)
         if not alive.size:
             return []
-        where = np.concatenate([np.arange(self.start[t], self.start[t + 1]) for t in terms])
-        found = self.items[where]
-        if alive.size < self.blocks:
-            mask = np.zeros(self.blocks, bool)
-            mask[alive] = True
-            keep = mask[found // BLOCK]
-            where, found = where[keep], found[keep]
-        scores = np.bincount(found, self.impacts[where], len(self.ids))
-        hits = np.flatnonzero((scores >= self.threshold) & (scores > 0))
-        return [(int(i), float(scores[i])) for i in hits]
+        there, out = np.zeros(len(self.vocabulary) + 1, bool), []
+        there[terms] = True
+        for b in alive.tolist():
+            term, item, impact = self.in_block[b]
+            hit = there[term]
+            scores = np.bincount(item[hit], impact[hit], BLOCK)
+            out += [(i, float(scores[k])) for k, i in enumerate(range(b * BLOCK, min((b + 1) * BLOCK, len(self.ids)))) if scores[k] >= self.threshold[i] and scores[k] > 0]
+        return out
 
     def verify(self, item: int, there: set) -> tuple[float, float]:
         """Shares of the item's question and answer words that shingles in ``there`` cover; an absent part counts as covered."""
@@ -159,7 +163,7 @@ def indexes(benchmark: DataFrame, reach: float, index_items: int):
         yield Index(sorted((r.item_id, *question_and_answer(r.text)) for r in rows), reach)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, reach: float = 0.5, overlap: float = 0.8, index_items: int = 4096, every: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, reach: float = 0.5, overlap: float = 0.8, index_items: int = 1024, every: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` with one row per (document, item) found; ``every``: also documents with none (nulls)."""
     spark = docs.sparkSession
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), HIT])
@@ -188,7 +192,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, reach:
     return reduce(DataFrame.unionByName, found)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, index_items: int = 4096, **params) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, index_items: int = 1024, **params) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found, all columns kept."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     if benchmark.count() <= index_items:
