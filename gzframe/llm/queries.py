@@ -79,5 +79,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_license_scan, op4_vector_dedup, op5_token_files, op6_katz_backoff, op7_decontamination, op8_language_id, op9_pii_surrogates, op10_source_mixing)}
 
 
+#: Lower-cases A-Z only, as the contracts say.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NGRAM_JOIN_SQL = f"""WITH RECURSIVE
+  w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  lists AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] for i in range(1, len(w) - 2)]) END AS s FROM w),
+  sizes AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM lists),
+  posts AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM lists),
+  links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM posts a JOIN posts b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY 1, 2
+    HAVING 100 * count(*) >= 85 * (any_value((SELECT n FROM sizes WHERE doc_id = a.doc_id)) + any_value((SELECT n FROM sizes WHERE doc_id = b.doc_id)) - count(*))),
+  reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sizes"""
+
+
+def _license_sql() -> str:
+    from gzframe.llm.licenses import BAND, BASE, COVER, K, TEMPLATES
+
+    rows = [(i, t, label, t in BASE) for i, (t, label) in enumerate([*BASE.items(), *TEMPLATES.items()])]
+    values = ", ".join(f"({i}, '{t}', '{label}', {str(base).lower()})" for i, t, label, base in rows)
+    gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(K))
+    return f"""WITH t AS (SELECT id, label, base, string_split(phrase, ' ') AS w FROM (VALUES {values}) v(id, phrase, label, base)),
+  tg AS (SELECT id, label, base, len(w) - {K - 1} AS grams, i - 1 AS tpos, {gram} AS g FROM (SELECT *, unnest(range(1, len(w) - {K - 2})) AS i FROM t)),
+  d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  dg AS (SELECT doc_id, i - 1 AS pos, {gram} AS g FROM (SELECT *, unnest(range(1, len(w) - {K - 2})) AS i FROM d)),
+  m AS (SELECT doc_id, id, label, base, grams, pos - tpos AS diagonal, count(*) AS matched, min(pos) AS first, max(pos) + {K - 1} AS last FROM dg JOIN tg USING (g) GROUP BY ALL),
+  n AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, id ORDER BY diagonal) > {BAND} THEN 1 ELSE 0 END AS new FROM m),
+  r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS span FROM n),
+  s AS (SELECT doc_id, id, label, base, span, min(diagonal) AS start, min(first) AS first, max(last) AS last, least(sum(matched) / grams, 1.0) AS cover FROM r GROUP BY doc_id, id, label, base, span, grams),
+  v AS (SELECT * FROM s WHERE cover >= CASE WHEN base THEN 1.0 ELSE {COVER} END),
+  k AS (SELECT doc_id, label FROM v x WHERE base OR NOT EXISTS (SELECT 1 FROM v y WHERE y.doc_id = x.doc_id AND NOT y.base AND y.cover > x.cover AND y.first <= x.last AND x.first <= y.last)),
+  a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, max(cover) AS score FROM v GROUP BY doc_id),
+  l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+
+VECTOR_SQL = """WITH RECURSIVE
+  v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings),
+  links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+  reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id,
+  vec_id = (SELECT min(b) FROM reach WHERE a = vec_id) AS kept
+FROM v"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_join": NGRAM_JOIN_SQL, "op3_license_scan": _license_sql(), "op4_vector_dedup": VECTOR_SQL}
