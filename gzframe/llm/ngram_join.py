@@ -300,7 +300,16 @@ def join_components(docs: DataFrame, *, n: int = 4, percent: int = 85, extra: in
     # exact copies: one class per set, named by its smallest id
     classes = each.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     same = each.where("n > 0 and doc_id is not null").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep")
-    hot = found.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("df")).where("df >= 8").orderBy(F.desc("df"), "f1").limit(frequent).toArrow()
+    hot = written(found.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("df")).where("df >= 8"), "join-frequent")
+    # the least document frequency of which the table holds all shingles within its bound, from a small histogram
+    steps = sorted(((r.step, r.n) for r in hot.groupBy(F.floor(F.log2("df") * 16).alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    room, least = frequent, None
+    for step, n in steps:
+        room -= n
+        if room < 0:
+            break
+        least = step
+    hot = (hot.where(F.floor(F.log2("df") * 16) >= least) if least is not None else hot.limit(0)).toArrow()
     values = hot["f1"].to_numpy().view(np.uint64)
     df = hot["df"].to_numpy()
     order = np.argsort(values)
