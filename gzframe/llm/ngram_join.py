@@ -304,8 +304,8 @@ def join_components(docs: DataFrame, *, n: int = 4, percent: int = 85, extra: in
     # the least document frequency of which the table holds all shingles within its bound, from a small histogram
     steps = sorted(((r.step, r.n) for r in hot.groupBy(F.floor(F.log2("df") * 16).alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
     room, least = frequent, None
-    for step, n in steps:
-        room -= n
+    for step, size in steps:
+        room -= size
         if room < 0:
             break
         least = step
