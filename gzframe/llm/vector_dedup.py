@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +153,7 @@ def _pair(least: float, projections: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
         sides, out = {}, ([], [], [])
         for side in (0, 1):
-            t = table.filter(pa.compute.equal(table["side"], side))
+            t = table.filter(pc.equal(table["side"], side))
             if t.num_rows:
                 rows, dims = t["row"].to_numpy(), t["dims"].to_numpy()
                 raw = t["unit"].to_pylist()
@@ -175,8 +176,6 @@ def _pair(least: float, projections: int, seed: int):
 
 def near_vectors(vectors: DataFrame, *, least: float = 0.9, projections: int = 12, cell: int = CELL, seed: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding)."""
-    import pyarrow.compute  # noqa: F401  used in the tasks
-
     spark = vectors.sparkSession
     base = vectors.select("vec_id", "embedding")
     unit = base.mapInArrow(_project(projections, seed), "vec_id long, dims int, p double, unit binary")
