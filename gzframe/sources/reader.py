@@ -288,11 +288,18 @@ def register_source(spark: SparkSession) -> None:
     spark.dataSource.register(GzStreamSource)
 
 
-def member_payloads(df: DataFrame, ranges: DataFrame, content: str = "content") -> DataFrame:
-    """Decode members in parallel: ``ranges`` (path, index, compressed_offset, compressed_size) against ``df`` (path, content).
-
-    Only the bytes of a member travel with its row, so the tasks that decode are per member, not per file."""
-    cut = F.substring(F.col(content), (F.col("compressed_offset") + 1).cast("int"), F.col("compressed_size").cast("int"))
-    pieces = df.select("path", content).join(ranges.select("path", "index", "compressed_offset", "compressed_size"), "path").select("path", "index", cut.alias("member"))
+def member_payloads(df: DataFrame, ranges: DataFrame | None = None, content: str = "content") -> DataFrame:
+    """path, index, payload: members decoded in parallel, one row and so one unit of work per member.
+
+    ``ranges`` (path, index, compressed_offset, compressed_size), as ``members`` gives and a table can keep them,
+    saves the first pass over the streams. Only a member's own bytes travel with its row."""
+    piece = lambda at, size: F.substring(F.col(content), (at + 1).cast("int"), size.cast("int"))
+    if ranges is None:
+        found = df.select("path", content, C.gz_inspect(content).members.alias("_m"))
+        cut = F.transform("_m", lambda m: F.struct(m["index"].alias("index"), piece(m.compressed_offset, m.compressed_size).alias("member")))
+        pieces = found.select("path", F.explode(cut).alias("x")).select("path", "x.*")
+    else:
+        known = ranges.groupBy("path").agg(F.collect_list(F.struct("index", "compressed_offset", "compressed_size")).alias("_m"))
+        cut = F.transform("_m", lambda m: F.struct(m["index"].alias("index"), piece(m.compressed_offset, m.compressed_size).alias("member")))
+        pieces = df.select("path", content).join(known, "path").select("path", F.explode(cut).alias("x")).select("path", "x.*")
     return pieces.repartition("path", "index").select("path", "index", C.gz_decompress("member").alias("payload"))
-
