@@ -320,15 +320,18 @@ def join_components(docs: DataFrame, *, n: int = 4, percent: int = 85, extra: in
 
     # first round: pivots of minimum-hash keys
     # the document with the fewest rare shingles is nearest to the middle of its copies
-    keyed = signed.select("doc_id", "cold", F.explode("keys").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min(F.struct("cold", "doc_id")).doc_id.alias("pivot"), F.count("*").alias("docs")).where("docs > 1").drop("docs")
-    stars = keyed.join(pivots, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    keyed = signed.select("doc_id", "n", "cold", F.explode("keys").alias("key"))
+    pivots = keyed.groupBy("key").agg(F.min(F.struct("cold", "doc_id", "n")).alias("p"), F.count("*").alias("docs")).where("docs > 1").select("key", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pn"))
+    fits = (F.col("doc_id") != F.col("pivot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+    stars = keyed.join(pivots, "key").where(fits).groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("keys"))
+    # one key of KEYS is what unlike documents share; the second round misses nothing that this leaves out
+    stars = stars.where("keys > 1")
     links = written(verified(docs, stars, n, percent), "join-links")
     first = written(connected_components(links, "join-components"), "join-first")
 
     # second round: merged short lists between what does not hang together
     total = signed.agg(F.sum(F.octet_length("short")) / 5).first()[0] or 0
-    buckets = max(1, math.ceil(total / POSTINGS), min(partitions(spark), 8))
+    buckets = max(1, math.ceil(total / POSTINGS))
     labelled = signed.join(first, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "short")
     dealt = labelled.mapInArrow(_deal(buckets), "bucket int, docs binary, sizes binary, comps binary, counts binary, hashes binary, places binary")
     common = dealt.groupBy("bucket").applyInArrow(_merge(percent, extra), PAIRS)
