@@ -5,8 +5,10 @@ partitioned by history: flat sorted files in the shared folder, one set per
 bucket of histories. Good-Turing discounts for counts up to ``GT`` come from
 the global counts of counts. A history's record holds its count, how many of
 its continuations occurred 1..GT times, and the sum of their lower-order
-probabilities, from which its backoff weight follows, normalised exactly. A
-token is evaluated recursively: its discounted n-gram if that was seen, else
+probabilities, from which its backoff weight follows, normalised exactly.
+Where no count of a history is discounted, half a count more is reserved for
+the unseen and its seen counts are divided by the larger total; the same holds
+for the unigrams. A token is evaluated recursively: its discounted n-gram if that was seen, else
 its history's weight times the probability after the shorter history. All
 unseen words are one class, with the discounted mass of the unigrams.
 
@@ -38,6 +40,8 @@ from gzframe.llm.word_hashes import mix, word_hashes
 
 #: Counts up to this are discounted.
 GT = 5
+#: Counts reserved for the unseen where no count is discounted.
+SPARE = 0.5
 END = np.uint64(0x5BD1E9955BD1E995)
 START = np.uint64(0xC2B2AE3D27D4EB4F)
 LOW40 = np.uint64((1 << 40) - 1)
@@ -91,6 +95,7 @@ class Level:
     total: int = 0
     types: int = 0
     unseen: float = 1.0
+    spare: float = 0.0
 
 
 @lru_cache(maxsize=4096)
@@ -138,7 +143,7 @@ class Model:
         level = self.levels[0]
         (count,) = _find(level, words40, _of(words40, level.buckets), "keys", [("counts", "<u4")])
         count = count.astype(np.float64)
-        p = count * level.discount[np.minimum(count, GT + 1).astype(np.int64)] / max(level.total, 1)
+        p = count * level.discount[np.minimum(count, GT + 1).astype(np.int64)] / (max(level.total, 1) + level.spare)
         return count, np.where(count > 0, p, level.unseen)
 
     def step(self, k: int, history: np.ndarray, words40: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -149,9 +154,10 @@ class Model:
         stats = _find(level, history, by, "histories", [("total", "<f8"), ("below", "<f8"), *((f"n{r}", "<u4") for r in range(1, GT + 1))])
         total, below = stats[0], stats[1]
         gone = sum((1 - level.discount[r]) * r * stats[1 + r].astype(np.float64) for r in range(1, GT + 1))
+        spare = np.where(gone == 0, SPARE, 0.0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            seen = count * level.discount[np.minimum(count, GT + 1).astype(np.int64)] / total
-            weight = gone / total / np.maximum(1 - below, 1e-12)
+            seen = count * level.discount[np.minimum(count, GT + 1).astype(np.int64)] / (total + spare)
+            weight = (gone + spare) / (total + spare) / np.maximum(1 - below, 1e-12)
         return np.where(total == 0, lower, np.where(count > 0, seen, weight * lower))
 
     def probabilities(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +260,9 @@ def train(docs: DataFrame, order: int = 2, folder: str | None = None) -> Model:
         if k == 1:
             total = level.total
             if total:
-                level.unseen = float(sum((1 - level.discount[r]) * r * n.get(r, 0) for r in range(1, GT + 1)) / total) or 0.5 / total
+                gone = float(sum((1 - level.discount[r]) * r * n.get(r, 0) for r in range(1, GT + 1)))
+                level.spare = 0.0 if gone else SPARE
+                level.unseen = (gone + level.spare) / (total + level.spare)
         levels.append(level)
     return Model(levels)
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gzframe.llm.katz import GT, factors, score, train
+from gzframe.llm.katz import GT, factors, pieces, score, train
 from tests.llm.fixtures import DOCS, rows
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,3 +92,21 @@ def test_odd_and_empty(spark, tmp_path):
     assert model.levels[0].total == 0
     with pytest.raises(ValueError):
         train(frame, 4)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_histories_without_discounts_keep_mass_for_the_unseen(spark, tmp_path, order):
+    # every count is above GT, so no n-gram of any order is discounted
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    ids = [i for i in range(100) if not held(i)][: 2 * GT]
+    out = next(i for i in range(100) if held(i))
+    docs = [(i, "a b c") for i in ids] + [(out, "b a new c c")]
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(docs, "doc_id long, text string"), order=order, folder=str(tmp_path / "k")).collect()}
+    assert math.isfinite(got[out]) and got[out] < got[ids[0]] < 0
+    model = train(spark.createDataFrame([(t,) for d, t in docs if d != out], "text string"), order, str(tmp_path / "m"))
+    for before in ("a", "a b", "c", "zzz"):
+        p = []
+        for w in ("a", "b", "c", "new", None):
+            _, t, n = next(pieces([" ".join([before, *([w] if w else [])])]))
+            p.append(model.probabilities(t, n)[1][len(before.split())])
+        assert min(p) > 0 and abs(sum(p) - 1) < 1e-9
