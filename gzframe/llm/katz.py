@@ -44,7 +44,6 @@ GT = 5
 SPARE = 0.5
 END = np.uint64(0x5BD1E9955BD1E995)
 START = np.uint64(0xC2B2AE3D27D4EB4F)
-LOW40 = np.uint64((1 << 40) - 1)
 #: Tokens in a bucket of a table, about.
 BUCKET = 1_500_000
 
@@ -67,8 +66,8 @@ def histories(tokens: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray
     return h
 
 
-def entry_keys(history: np.ndarray, words40: np.ndarray) -> np.ndarray:
-    return mix(history ^ (words40 * np.uint64(0x9E3779B97F4A7C15)))
+def entry_keys(history: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(history ^ (words * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def factors(counts_of_counts: dict[int, int]) -> np.ndarray:
@@ -138,19 +137,19 @@ class Model:
     def __init__(self, levels: list[Level]):
         self.levels = levels
 
-    def unigrams(self, words40: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def unigrams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts, probabilities) of words."""
         level = self.levels[0]
-        (count,) = _find(level, words40, _of(words40, level.buckets), "keys", [("counts", "<u4")])
+        (count,) = _find(level, words, _of(words, level.buckets), "keys", [("counts", "<u4")])
         count = count.astype(np.float64)
         p = count * level.discount[np.minimum(count, GT + 1).astype(np.int64)] / (max(level.total, 1) + level.spare)
         return count, np.where(count > 0, p, level.unseen)
 
-    def step(self, k: int, history: np.ndarray, words40: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    def step(self, k: int, history: np.ndarray, words: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Probabilities of order ``k`` from those of the order below."""
         level = self.levels[k - 1]
         by = _of(history, level.buckets)
-        (count,) = _find(level, entry_keys(history, words40), by, "keys", [("counts", "<u4")])
+        (count,) = _find(level, entry_keys(history, words), by, "keys", [("counts", "<u4")])
         stats = _find(level, history, by, "histories", [("total", "<f8"), ("below", "<f8"), *((f"n{r}", "<u4") for r in range(1, GT + 1))])
         total, below = stats[0], stats[1]
         gone = sum((1 - level.discount[r]) * r * stats[1 + r].astype(np.float64) for r in range(1, GT + 1))
@@ -162,28 +161,27 @@ class Model:
 
     def probabilities(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(unigram counts, probabilities) of all tokens of some texts."""
-        words40 = tokens & LOW40
-        own, back = np.unique(words40, return_inverse=True)
+        own, back = np.unique(tokens, return_inverse=True)
         c, p = self.unigrams(own)
         c, p = c[back], p[back]
         for k in range(2, len(self.levels) + 1):
             h = histories(tokens, counts, k - 1)
-            _, first, back = np.unique(entry_keys(h, words40), return_index=True, return_inverse=True)
-            p = self.step(k, h[first], words40[first], p[first])[back]
+            _, first, back = np.unique(entry_keys(h, tokens), return_index=True, return_inverse=True)
+            p = self.step(k, h[first], tokens[first], p[first])[back]
         return c, p
 
 
 def _count(order: int, buckets: int):
     """Distinct n-grams of each piece with counts: one row per piece and bucket.
 
-    histories: hash (8 bytes), shorter history (8), continuations (4); entries: word (5) and count (4), by history and word."""
+    histories: hash (8 bytes), shorter history (8), continuations (4); entries: word (8) and count (4), by history and word."""
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for _, tokens, counts in pieces(batch.column(0).to_pylist()):
                 h = histories(tokens, counts, order - 1) if order > 1 else np.zeros(len(tokens), np.uint64)
-                w = tokens & LOW40
+                w = tokens
                 by = _of(h if order > 1 else w, buckets)
                 sort = np.lexsort((w, h, by))
                 h, w, by = h[sort], w[sort], by[sort]
@@ -196,9 +194,8 @@ def _count(order: int, buckets: int):
                 for b in np.flatnonzero(np.diff(cut)):
                     s = slice(cut[b], cut[b + 1])
                     first = np.flatnonzero(np.concatenate([[True], h[s][1:] != h[s][:-1]]))
-                    word = np.ascontiguousarray(w[s]).view(np.uint8).reshape(-1, 8)[:, :5]
                     runs = np.diff(np.append(first, cut[b + 1] - cut[b])).astype("<u4")
-                    for o, v in zip(out, (int(b), h[s][first].tobytes(), short[s][first].tobytes() if order > 2 else b"", runs.tobytes(), word.tobytes(), n[s].tobytes()), strict=True):
+                    for o, v in zip(out, (int(b), h[s][first].tobytes(), short[s][first].tobytes() if order > 2 else b"", runs.tobytes(), w[s].tobytes(), n[s].tobytes()), strict=True):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], ["bucket", "history", "short", "runs", "words", "counts"])
 
@@ -210,10 +207,7 @@ def _merge(order: int, folder: str, lower: Model):
 
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        raw = join("words", np.uint8).reshape(-1, 5)
-        words = np.zeros((len(raw), 8), np.uint8)
-        words[:, :5] = raw
-        w, n, runs = words.view("<u8").ravel(), join("counts", "<u4"), join("runs", "<u4")
+        w, n, runs = join("words", "<u8"), join("counts", "<u4"), join("runs", "<u4")
         h = np.repeat(join("history", "<u8"), runs)
         sort = np.lexsort((w, h))
         h, w, n = h[sort], w[sort], n[sort]

@@ -110,3 +110,12 @@ def test_histories_without_discounts_keep_mass_for_the_unseen(spark, tmp_path, o
             _, t, n = next(pieces([" ".join([before, *([w] if w else [])])]))
             p.append(model.probabilities(t, n)[1][len(before.split())])
         assert min(p) > 0 and abs(sum(p) - 1) < 1e-9
+
+
+def test_words_that_share_forty_bits_are_told_apart(spark, tmp_path):
+    model = train(spark.createDataFrame([("a b",)] * 3, "text string"), 2, str(tmp_path / "m"))
+    _, known, n = next(pieces(["a b"]))
+    other = known.copy()
+    other[:2] ^= np.uint64(1 << 63)
+    assert model.probabilities(known, n)[0].tolist() == [3, 3, 3]
+    assert model.probabilities(other, n)[0].tolist() == [0, 0, 3]
