@@ -9,7 +9,11 @@ addresses stay in range, names keep title and gender.
 
 Distinct entities (not documents) are then checked for collisions: two
 entities with one surrogate, or a surrogate that is a real entity, are drawn
-again with the next attempt number until none is left. The few that needed a
+again with the next attempt number until none is left. The values to draw from
+grow with the attempt, so entities of one shape may be more than its values:
+surnames get a syllable more with each attempt; from attempt ``WIDER`` on,
+e-mail addresses, phone and identity numbers and secrets get a letter or digit
+more each, and network addresses any octets. The few that needed a
 further attempt enter as literals up to ``MAP_ROWS``, beyond by a join.
 
 Defined cases: null text stays null with 0 entities; empty texts stay; texts of
@@ -68,6 +72,8 @@ MAY_HOLD = rf"[0-9@]|(?:{TITLES})\.? \p{{Lu}}|(?i:token|secret|passw|key)[ ]{{0,
 
 #: Entities with further attempts that are put in the plan as literals.
 MAP_ROWS = 200
+#: The attempt from which surrogates no longer keep to the length of their entity.
+WIDER = 3
 
 
 def kind_of(e: Column) -> Column:
@@ -101,10 +107,10 @@ def luhn(digits: Column, drop: int) -> Column:
 def surrogate(e: Column, kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The replacement of mention ``e``; all mentions of equal ``kind`` and ``norm`` share the keyed draws."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string")), 256)
-    return F.element_at(F.transform(F.array(seed), lambda s: _drawn(e, kind, s)), 1)
+    return F.element_at(F.transform(F.array(F.struct(seed.alias("seed"), attempt.cast("int").alias("attempt"))), lambda s: _drawn(e, kind, s.seed, s.attempt)), 1)
 
 
-def _drawn(e: Column, kind: Column, seed: Column) -> Column:
+def _drawn(e: Column, kind: Column, seed: Column, attempt: Column) -> Column:
     draw = lambda i, n: F.pmod(F.xxhash64(seed, i), F.lit(n)).cast("int")
 
     def letter(c: Column, i: Column, hexes: Column | None = None) -> Column:
@@ -122,17 +128,24 @@ def _drawn(e: Column, kind: Column, seed: Column) -> Column:
         ranks = F.transform(chars, lambda c, i: F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"[^\p{L}\p{N}]", "")))
         return F.array_join(F.zip_with(chars, ranks, lambda c, r: letter(c, r, hexes)), "")
 
+    def more(n: Column, first: int, values: Column) -> Column:
+        # n further draws from an array, none for the usual first attempt
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(values, F.pmod(F.xxhash64(seed, i + first), F.size(values)).cast("int") + 1)), "")).otherwise("")
+
+    listed = lambda values: F.array(*map(F.lit, values))
+    longer = attempt - (WIDER - 1)
+    digits = more(longer, 100_000, listed("0123456789"))
     tail = F.regexp_extract(e, r"\.[^.@]+$", 0)
-    email = F.concat(shaped(F.substring(e, F.lit(1), F.length(e) - F.length(tail))), tail)
+    email = F.concat(more(longer, 100_000, listed("abcdefghijklmnopqrstuvwxyz")), shaped(F.substring(e, F.lit(1), F.length(e) - F.length(tail))), tail)
     code = F.regexp_extract(e, r"^\+\d{1,3}(?=\D)", 0)
-    phone = F.concat(code, shaped(F.substring(e, F.length(code) + 1, F.length(e))))
-    octet = lambda o, i: F.when(F.length(o) >= 3, 100 + draw(i, 156)).when(F.length(o) == 2, 10 + draw(i, 90)).otherwise(draw(i, 10)).cast("string")
+    phone = F.concat(code, shaped(F.substring(e, F.length(code) + 1, F.length(e))), digits)
+    octet = lambda o, i: F.when(longer > 0, draw(i, 256)).when(F.length(o) >= 3, 100 + draw(i, 156)).when(F.length(o) == 2, 10 + draw(i, 90)).otherwise(draw(i, 10)).cast("string")
     address = F.array_join(F.transform(F.split(e, r"\."), octet), ".")
     digits_of = lambda x: F.transform(F.split(F.regexp_replace(x, r"\D", ""), ""), lambda c: c.cast("int"))
     plain = shaped(e)
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
     card = F.when(luhn(digits_of(e), 0) == 0, F.concat(body, ((10 - luhn(digits_of(body), 1)) % 10).cast("string"))).otherwise(plain)
-    secret = shaped(e, e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
+    secret = F.concat(shaped(e, e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), digits)
     account = F.concat(F.substring(e, 1, 2), shaped(F.substring(e, F.lit(3), F.length(e))))
 
     title = F.regexp_extract(e, rf"^(?:{TITLES})\.? ", 0)
@@ -144,11 +157,11 @@ def _drawn(e: Column, kind: Column, seed: Column) -> Column:
         male, female = (title.rlike(rf"^(?:{'|'.join(t)})\b") for t in (MALE, FEMALE))
         first = F.when(male, given("m")).when(female, given("f")).when(draw(F.lit(100), 2) == 0, given("m")).otherwise(given("f"))
         part = lambda k: F.element_at(F.array(*map(F.lit, SYLLABLES[script])), draw(F.lit(k), len(SYLLABLES[script])) + 1)
-        last = F.initcap(F.concat(part(102), part(103), part(104)))
+        last = F.initcap(F.concat(part(102), part(103), part(104), more(attempt, 104, listed(SYLLABLES[script]))))
         return F.when(F.contains(names, F.lit(" ")), F.concat(first, F.lit(" "), last)).otherwise(last)
 
     person = F.concat(title, F.when(cyrillic, of_script("cyrillic")).otherwise(of_script("latin")))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "address", address).when(kind == "card", card).when(kind == "account", account).when(kind == "person", person).when(kind == "social", plain).otherwise(secret)
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "address", address).when(kind == "card", card).when(kind == "account", account).when(kind == "person", person).when(kind == "social", F.concat(plain, digits)).otherwise(secret)
 
 
 def _split(docs: DataFrame) -> DataFrame:

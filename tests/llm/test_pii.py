@@ -57,3 +57,19 @@ def test_odd_rows(spark):
     assert by[4].text is None and by[4].n_entities == 0 and by[5].text == "" and by[1].text == rows()[0][1]
     assert by[20].n_entities == 1 and by[20].text.endswith(".co") and by[20].text != "a@b.co"
     assert pii.pseudonymise(frame.limit(0)).count() == 0
+
+
+def test_more_entities_than_their_shape_has_values(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "be"])
+    names = [f"Mr Name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]  # of 8 surnames with three syllables
+    mails = [f"{chr(97 + i // 26)}@{chr(97 + i % 26)}.co" for i in range(500)]  # of 676
+    addresses = [f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(6000)]  # of 10,000
+    phones = [f"{i // 1000:02d} {i % 1000:03d}" for i in range(60_000)]  # of 100,000, so fewer are left than needed
+    secrets = ["token=--------", "token=........"]
+    parts = {"n": names, "m": mails, "a": addresses, "p": phones, "s": secrets}
+    frame = spark.createDataFrame([(k, e) for k, es in parts.items() for e in es], "kind string, text string").withColumn("doc_id", pii.F.monotonically_increasing_id()).withColumn("was", pii.F.col("text"))
+    got = pii.pseudonymise(frame.repartition(4)).collect()
+    assert len(got) == sum(map(len, parts.values())) and all(r.n_entities == 1 for r in got)
+    for k in parts:
+        pairs = {r.was.replace(" ", "") if k == "p" else r.was: r.text.replace(" ", "") if k == "p" else r.text for r in got if r.kind == k}
+        assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
