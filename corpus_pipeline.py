@@ -28,7 +28,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out whole documents as the mix of sources takes their words."""
+    """Repeats, cuts or leaves out documents as the mix of sources takes their words."""
     return mixing.mix_documents(docs)
 
 

@@ -11,17 +11,19 @@ Only the totals per source and the shard table (``shards`` x sources, bounded
 by the parameter) are held on the driver.
 
 Defined cases: null text has size 0; a null source is a source of its own,
-ordered last; rows of equal doc_id stay separate rows; an empty table gives an
+ordered last; rows of null or equal doc_id stay separate rows; an empty table gives an
 empty result; further columns are ignored."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gzframe.llm.common import written
+from gzframe.llm.word_hashes import word_bounds
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,18 +69,20 @@ def permuted(pos, n, *key, rounds: int = 12):
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), pos.cast("long"), step)
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size in words; null text: 0."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def document_sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, ``keep``, size): size in words; null text: 0."""
+    return docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 class Mix:
-    """A mix of ``docs`` (doc_id, source, text): plan it once, then read ``blocks()``, ``slots()`` or ``documents()``."""
+    """A mix of ``docs`` (doc_id, source, text): plan it once, then read ``blocks()``, ``slots()`` or ``documents()``.
 
-    def __init__(self, docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 256, shards: int = 64, rows_per_run: int = 20_000, seed: int = 10):
+    Columns named in ``keep`` are carried to ``blocks()`` and ``filled()`` and order rows of equal doc_id and size."""
+
+    def __init__(self, docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 256, shards: int = 64, rows_per_run: int = 20_000, seed: int = 10, keep: tuple[str, ...] = ()):
         spark = self.spark = docs.sparkSession
-        self.block = block
-        base = written(document_sizes(docs), "mix-sizes")
+        self.block, self.keep = block, keep
+        base = written(document_sizes(docs, keep), "mix-sizes")
         totals = sorted(((r.source, r.n, r.docs) for r in base.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
         sizes = [r[1] for r in totals]
         self.targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(totals))], share, cap)
@@ -95,16 +99,16 @@ class Mix:
         first = np.cumsum(counts, axis=0) - counts
         self.shards = spark.createDataFrame([(k, s, int(first[k, s]), int(counts[k, s])) for k in range(shards) for s in range(len(slots)) if counts[k, s]], "shard int, rank int, first long, n long")
         runs = max(1, -(-sum(r[2] for r in totals) // rows_per_run))
-        ranked = base.join(self.sources.select("rank", "source"), base.source.eqNullSafe(self.sources.source)).select("doc_id", "rank", "size")
-        self.sized = written(ranked.repartitionByRange(runs, "doc_id", "size").withColumn("run", F.spark_partition_id()), "mix-runs")
+        ranked = base.join(self.sources.select("rank", "source"), base.source.eqNullSafe(self.sources.source)).select("doc_id", "rank", "size", *keep)
+        self.sized = written(ranked.repartitionByRange(runs, "doc_id", "size", *keep).withColumn("run", F.spark_partition_id()), "mix-runs")
         self.seed = seed
 
     def offsets(self) -> DataFrame:
         """(doc_id, rank, size, start): where in its source's words each document starts, by prefix sums over runs and within them."""
         runs = self.sized.groupBy("rank", "run").agg(F.sum("size").alias("n"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inside = F.coalesce(F.sum("size").over(Window.partitionBy("rank", "run").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return self.sized.withColumn("inside", inside).join(runs.select("rank", "run", before.alias("before")), ["rank", "run"]).select("doc_id", "rank", "size", (F.col("before") + F.col("inside")).alias("start"))
+        inside = F.coalesce(F.sum("size").over(Window.partitionBy("rank", "run").orderBy("doc_id", "size", *self.keep).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return self.sized.withColumn("inside", inside).join(runs.select("rank", "run", before.alias("before")), ["rank", "run"]).select("doc_id", "rank", "size", *self.keep, (F.col("before") + F.col("inside")).alias("start"))
 
     def blocks(self) -> DataFrame:
         """One row per part of a document in a block: rank, block, doc_id, size, start, from_word and to_word in the block.
@@ -116,13 +120,13 @@ class Mix:
         return parts.withColumns({"from_word": F.greatest(F.col("start") - F.col("block") * b, F.lit(0)), "to_word": F.least(F.col("start") + F.col("size") - F.col("block") * b, b)})
 
     def slots(self) -> DataFrame:
-        """One row per slot of the mix: shard, rank, slot, block, take (words from the block's start), order within the shard."""
+        """One row per slot of the mix: shard, rank, slot, turn (pass over the source), block, take (words from the block's start), order within the shard."""
         s = self.sources.select("rank", "whole", "per_pass", "last", "n_slots")
         x = self.shards.select("shard", "rank", F.explode(F.sequence("first", F.expr("first + n - 1"))).alias("slot")).join(s, "rank")
         x = x.withColumns({"turn": F.expr("slot div per_pass"), "pos": F.expr("slot % per_pass")})
         block = F.when(F.col("pos") >= F.col("whole"), F.col("whole")).otherwise(permuted(F.col("pos"), F.greatest(F.col("whole"), F.lit(1)), F.lit(self.seed), F.col("rank"), F.col("turn")))
         take = F.when((F.col("slot") == F.col("n_slots") - 1) & (F.col("last") > 0), F.col("last")).otherwise(F.lit(self.block).cast("long"))
-        return x.select("shard", "rank", "slot", block.alias("block"), take.alias("take"), F.xxhash64(F.lit(self.seed), "rank", "slot").alias("order"))
+        return x.select("shard", "rank", "slot", "turn", block.alias("block"), take.alias("take"), F.xxhash64(F.lit(self.seed), "rank", "slot").alias("order"))
 
     def filled(self) -> DataFrame:
         """Slots joined to the parts of documents that fill them: the mix itself, by word ranges."""
@@ -140,10 +144,39 @@ class Mix:
 
 
 def mix_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix as documents: each document as often as its words are taken, rounded to whole copies (0 to ``cap``).
-
-    All columns of ``docs`` are kept. Rows of equal doc_id share one count, the mean of theirs."""
-    taken = Mix(docs.select("doc_id", "source", "text"), **params).documents()
-    copies = taken.groupBy("doc_id").agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_copies"))
-    kept = docs.join(copies.where("_copies > 0").withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mix as documents: for each pass over a source, the word ranges that the mix takes of each document.
+
+    A document that a pass takes whole is a row with its text as it is; else
+    each run of adjoining ranges is a row with that part of the text, from its
+    first word to its last. So the words of a source sum to its target. Texts
+    without words are left out. All columns of ``docs`` are kept; those beside
+    ``text`` (as n_chars) stay those of the whole document."""
+    block = F.lit(params.get("block", 256)).cast("long")
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    first = F.col("block") * block + F.col("from_word") - F.col("start")
+    parts = Mix(keyed.select("doc_id", "source", "text", "_row"), keep=("_row",), **{"block": 256, **params}).filled().select("_row", "turn", "size", first.alias("first"), "words")
+    w = Window.partitionBy("_row", "turn").orderBy("first")
+    parts = parts.withColumn("new", F.coalesce(F.col("first") != F.lag(F.col("first") + F.col("words")).over(w), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
+    runs = parts.groupBy("_row", "turn", "run").agg(F.min("first").alias("first"), F.sum("words").alias("words"), F.first("size").alias("size"))
+    part = F.struct("turn", "first", "words", (F.col("words") == F.col("size")).alias("whole"))
+    taken = runs.groupBy("_row").agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def cut(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                piece = batch.slice(i, 1000)
+                take, texts = [], []
+                for k, (text, ranges) in enumerate(zip(piece.column(at).to_pylist(), piece.column(piece.num_columns - 1).to_pylist(), strict=True)):
+                    take += [k] * len(ranges)
+                    if all(r["whole"] for r in ranges):
+                        texts += [text] * len(ranges)
+                        continue
+                    data = text.encode("utf-8", "surrogatepass")
+                    start, end = word_bounds(data)
+                    texts += [text if r["whole"] else data[start[r["first"]] : end[r["first"] + r["words"] - 1]].decode("utf-8", "surrogatepass") for r in ranges]
+                columns = [c.take(pa.array(take, pa.int64())) for c in piece.columns[:-1]]
+                columns[at] = pa.array(texts, piece.column(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return keyed.join(taken, "_row").select(*docs.columns, "_parts").mapInArrow(cut, schema)

@@ -33,6 +33,12 @@ class _Powers:
         return cls.up, cls.down
 
 
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the white-space separated words of ``data`` begin and end."""
+    edge = np.flatnonzero(np.diff(_SPACE[np.frombuffer(data, np.uint8)], prepend=True, append=True))
+    return edge[::2], edge[1::2]
+
+
 def _hash_joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = _SPACE[buffer]

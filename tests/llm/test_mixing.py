@@ -55,3 +55,20 @@ def test_empty_and_copies(spark):
     copies = mix_documents(docs, block=8)
     assert copies.columns == docs.columns
     assert copies.count() > 0
+
+
+def test_mixed_words_of_long_documents_meet_the_targets(spark):
+    # documents over many blocks; ratios below one half and between whole numbers
+    docs = [(i, " \n".join(f"{s}{i}x{j}" for j in range(n)) + "\t", s) for s, ids, n in (("a", range(4), 500), ("b", range(10, 40), 700), ("c", range(50, 53), 9)) for i in ids]
+    docs += [(60, None, "a"), (61, "  ", "b")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    params = {"block": 64, "weights": (2, 5, 1), "share": 0.37}
+    target = {r.source: r.target for r in Mix(frame, **params).sources.collect()}
+    got = mix_documents(frame, **params).collect()
+    texts = {d: t for d, t, _ in docs}
+    for s, wanted in target.items():
+        assert abs(sum(size(r.text) for r in got if r.source == s) - wanted) <= 1
+    assert all(r.text in texts[r.doc_id] for r in got)
+    assert any(r.text != texts[r.doc_id] for r in got)
+    twice = mix_documents(frame, **{**params, "share": 2.0}).collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in twice) == sorted(d for d in docs if size(d[1]) for _ in range(2))
