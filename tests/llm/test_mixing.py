@@ -72,3 +72,13 @@ def test_mixed_words_of_long_documents_meet_the_targets(spark):
     assert any(r.text != texts[r.doc_id] for r in got)
     twice = mix_documents(frame, **{**params, "share": 2.0}).collect()
     assert sorted((r.doc_id, r.text, r.source) for r in twice) == sorted(d for d in docs if size(d[1]) for _ in range(2))
+
+
+def test_null_ids_are_mixed(spark):
+    docs = [(None if i % 3 else i, f"w{i} " * 20, "a" if i % 2 else None) for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    mix = Mix(frame, block=8)
+    got = mix_documents(frame, block=8).collect()
+    for r in mix.sources.collect():
+        assert abs(sum(size(x.text) for x in got if x.source == r.source) - r.target) <= 1
+    assert sum(size(r.text) for r in got if r.doc_id is None) == mix.documents().where("doc_id is null").groupBy().sum("taken").first()[0] > 0
