@@ -36,6 +36,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that a task hands to Python at once, about.
+BATCH_BYTES = 8 * 2**20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """``spark``, with Arrow batches bounded by bytes: rows of any length then cost a Python worker about as much.
+
+    Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session, unless it is set to less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return spark
+
+
+def slices(texts, most: int = 2 * 2**20):
+    """Consecutive slices of an Arrow array of strings, each of about ``most`` bytes or one longer string."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -4,26 +4,32 @@ A document's set is its distinct word shingles. Documents of equal sets are
 one class. A pair of classes with the wanted similarity shares at least T
 shingles; in a global order with frequent shingles last, DivideSkip splits a
 document's shingles into short lists (its first n - T + 1 + extra) and long
-ones. The short inverted lists are merged, in buckets of shingles, counting
-occurrences per pair; pairs with fewer than 1 + extra are given up; the long
-lists are probed for the rest by binary search in the sorted set of the other
-document, until the overlap is known.
-
-Only the components of the links are wanted, so a first round verifies
-minimum-hash neighbours against one pivot per key; the merge of lists then
-leaves out pairs that already hang together. It is exact: no list, pair or
-partner is dropped, and a list in which all documents hang together costs its
-length only.
-
-Groups of copies never meet as pairs: exact copies are one class, pivots with
-many partners are spread over salted copies of the pivot. What is broadcast
-has a fixed bound: ``frequent`` shingles and a bitmap of ``BITS`` bits.
+ones. The short inverted lists are merged, in buckets of shingles: each batch's
+postings arrive as an ascending run, and a merging sort joins the runs. Pairs
+with fewer than 1 + extra occurrences are given up, as are those whose parity
+sketches differ in more places than the sets may. Long lists are never built:
+whether a document stands in one is asked by binary search in its sorted set,
+until the overlap of a pair is known.
+
+Only the components of the links are wanted, so lists are merged twice. First
+each list links its members to one pivot alone, the member with the fewest
+rare shingles, which is nearest to the middle of a group of copies; verified
+links are contracted. Then all pairs of a list that do not hang together yet
+are counted. No list, pair or partner is dropped, so the result is exact.
+
+Groups of copies never meet as pairs: exact copies are one class, found by
+salted aggregation; near copies become stars; lists longer than ``longest``
+are cut into parts that meet as pairs of parts; pivots with many partners are
+spread over salted copies of the pivot. What is broadcast has a fixed bound:
+``frequent`` shingles and a bitmap of ``BITS`` bits.
 
 Defined cases: texts without words (null, empty) have n_shingles 0 and are
-their own component; fewer words than a shingle form one shingle; rows of one
-doc_id are linked as the documents they are and share the id's component; a
-null doc_id gets a null component; an empty table gives an empty result;
-further columns are ignored."""
+their own component; fewer words than a shingle form one shingle; texts of any
+length are parsed whole; ties between pivots go to the smallest doc_id, and
+similarity at the bound links; rows of one doc_id are linked as the documents
+they are and share the id's component; a null doc_id gets a null component; an
+empty table gives an empty result; further columns are ignored, and
+``one_of_each`` keeps them whatever their names."""
 
 from __future__ import annotations
 
@@ -34,17 +40,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gzframe.llm.common import connected_components, partitions, written
+from gzframe.llm.common import bounded_batches, connected_components, partitions, written
 from gzframe.llm.word_hashes import gram_hashes, mix, word_hashes
 
 #: Size of the bitmap that names the documents whose sets are needed.
 BITS = 1 << 24
 #: Partners of a pivot in one task's group.
 PARTNERS = 500
-#: Minimum-hash keys of a document in the first round.
-KEYS = 6
 #: Postings in a bucket, about.
 POSTINGS = 2_000_000
+#: Words of 64 bits in a document's parity sketch.
+SKETCH = 4
+#: Shingles that a task holds before it reports those seen several times.
+HELD = 2_000_000
+#: Salts that a class of exact copies is spread over.
+SALTS = 64
 
 
 def shingle_sets(texts: list[str | None], n: int):
@@ -62,22 +72,10 @@ def shingle_sets(texts: list[str | None], n: int):
             at += k
 
 
-def pack(h: np.ndarray) -> bytes:
-    """The low 40 bits of each hash."""
-    return h.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpack(b) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view(np.uint64).ravel()
-
-
-def packed_set(h: np.ndarray) -> bytes:
-    low = h & np.uint64((1 << 40) - 1)
-    low.sort()
-    return pack(low)
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of a set's members by hashed bit: two sketches differ in no more places than their sets."""
+    bits = (mix(h ^ np.uint64(0xA5A5A5A5)) & np.uint64(64 * SKETCH - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -89,135 +87,186 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(a) else 0
 
 
-def _summaries(n: int, least_local: int):
-    """Kind 0: a document's size, fingerprint and number; kind 1: a shingle seen in several documents of a batch."""
+def _summaries(n: int):
+    """Kind 0: a document's size, fingerprint and number; kind 1: a shingle seen in several documents that a task held at once."""
+    names = ["kind", "doc_id", "n", "f1", "f2"]
+
+    def often(seen):
+        values, counts = np.unique(np.concatenate(seen), return_counts=True)
+        some = counts > 1
+        k = int(some.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(counts[some]), pa.array(values[some].view(np.int64)), pa.array(np.zeros(k, np.int64))], names)
 
     def run(batches):
+        seen, held = [], 0
         for batch in batches:
-            ids, sizes, f1, f2, seen = batch.column(0), [], [], [], []
+            ids, sizes, f1, f2 = batch.column(0), [], [], []
             for h in shingle_sets(batch.column(1).to_pylist(), n):
                 sizes.append(len(h))
                 f1.append(int(mix(h).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                 f2.append(int(mix(h * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                 seen.append(h)
+                held += len(h)
+                if held > HELD:
+                    yield often(seen)
+                    seen, held = [], 0
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), ids, pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["kind", "doc_id", "n", "f1", "f2"])
-            values, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = counts >= least_local
-            k = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(counts[often].astype(np.int64)), pa.array(values[often].view(np.int64)), pa.array(np.zeros(k, np.int64))], ["kind", "doc_id", "n", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), ids, pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], names)
+        if seen:
+            yield often(seen)
 
     return run
 
 
-SIGNATURE = "doc_id long, n long, cold long, keys array<long>, short binary"
+SIGNATURE = "doc_id long, n long, cold long, sketch binary, short binary"
 
 
 def _signatures(n: int, percent: int, extra: int, frequent):
-    """Minimum-hash keys and short lists (frequent shingles last) of each document."""
-    odd = (np.random.default_rng(1).integers(1, 2**63, KEYS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    """Size, rare shingles, sketch and short lists (frequent shingles last) of each document."""
 
     def run(batches):
-        hot, rank = frequent.value
+        hot, df = frequent.value
         for batch in batches:
-            ids, keep, sizes, rare, keys, short = batch.column(0).to_pylist(), [], [], [], [], []
+            ids, keep, sizes, rare, sketches, short = batch.column(0).to_pylist(), [], [], [], [], []
             for i, h in enumerate(shingle_sets(batch.column(1).to_pylist(), n)):
                 if ids[i] is None or not len(h):
                     continue
                 keep.append(ids[i])
                 sizes.append(len(h))
-                keys.append([int((mix(h * m) >> np.uint64(1)).min()) ^ (k << 56) for k, m in enumerate(odd)])
+                sketches.append(sketch(h).tobytes())
                 length = min(len(h), len(h) - -(-percent * len(h) // 100) + 1 + extra)
-                if len(hot):
-                    at = np.searchsorted(hot, h)
-                    at[at == len(hot)] = 0
-                    is_hot = hot[at] == h
-                    cold = h[~is_hot]
-                    rare.append(len(cold))
-                    h = cold[:length] if len(cold) >= length else np.concatenate([cold, h[is_hot][np.argsort(rank[at[is_hot]], kind="stable")]])[:length]
-                else:
-                    rare.append(len(h))
-                    h = h[:length]
-                short.append(pack(np.ascontiguousarray(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "n", "cold", "keys", "short"])
+                at = np.searchsorted(hot, h)
+                at[at == len(hot)] = 0
+                is_hot = hot[at] == h if len(hot) else np.zeros(len(h), bool)
+                cold = h[~is_hot]
+                rare.append(len(cold))
+                h = cold[:length] if len(cold) >= length else np.concatenate([cold, h[is_hot][np.argsort(df[at[is_hot]], kind="stable")]])[:length]
+                short.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()), pa.array(sketches, pa.binary()), pa.array(short, pa.binary())], ["doc_id", "n", "cold", "sketch", "short"])
 
     return run
 
 
-def _deal(buckets: int):
-    """Cut documents' short lists into buckets of shingles: one row per batch and bucket."""
+def _in_parts(h: np.ndarray, who: np.ndarray, salt: np.ndarray, heavy, star: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``h``, list) of each posting: the lists of ``heavy`` shingles are cut into parts by ``salt``.
+
+    A star meets within a part; else each two parts of a list meet in a list of their own."""
+    values, parts = heavy
+    at = np.searchsorted(values, h)
+    at[at == len(values)] = 0
+    cut = np.flatnonzero(values[at] == h) if len(values) else np.zeros(0, np.int64)
+    lists = h.copy()
+    if not len(cut):
+        return np.arange(len(h)), lists
+    k = parts[at[cut]]
+    own = (salt[who[cut]] % k.astype(np.uint64)).astype(np.int64)
+    if star:
+        lists[cut] = mix(h[cut] + mix(own.astype(np.uint64) + np.uint64(1)))
+        return np.arange(len(h)), lists
+    again = np.repeat(cut, k - 1)
+    mine = np.repeat(own, k - 1)
+    other = np.arange(len(again)) - np.repeat(np.cumsum(k - 1) - (k - 1), k - 1)
+    other += other >= mine
+    pair = np.minimum(mine, other) * (1 << 32) + np.maximum(mine, other)
+    rest = np.setdiff1d(np.arange(len(h)), cut, assume_unique=True)
+    return np.concatenate([rest, again]), np.concatenate([h[rest], mix(h[again] + mix(pair.astype(np.uint64) + np.uint64(1)))])
+
+
+DEALT = ["docs", "sizes", "labels", "sketches", "members", "lists", "places"]
+
+
+def _deal(buckets: int, heavy, star: bool):
+    """Cut documents' short lists (doc_id, n, label, sketch, short) into buckets: one row per batch and bucket, its postings ascending by list."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            docs, sizes, comps = (batch.column(i).to_numpy() for i in range(3))
-            lists = [unpack(b) for b in batch.column(3).to_pylist()]
-            who = np.repeat(np.arange(len(docs)), [len(x) for x in lists])
-            place = np.concatenate([np.arange(len(x), dtype=np.uint32) for x in lists])
-            h = np.concatenate(lists)
-            bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((who, bucket))
-            h, who, bucket, place = h[order], who[order], bucket[order], place[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = ([], [], [], [], [], [], [])
-            for b in np.flatnonzero(np.diff(cut)):
-                w = who[cut[b] : cut[b + 1]]
-                own, count = np.unique(w, return_counts=True)
-                for column, value in zip(out, (int(b), docs[own].tobytes(), sizes[own].astype(np.int32).tobytes(), comps[own].tobytes(), count.astype(np.int32).tobytes(), pack(np.ascontiguousarray(h[cut[b] : cut[b + 1]])), place[cut[b] : cut[b + 1]].tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["bucket", "docs", "sizes", "comps", "counts", "hashes", "places"])
+            docs, sizes, labels = (batch.column(i).to_numpy() for i in range(3))
+            sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, SKETCH)
+            short = [np.frombuffer(b, np.uint64) for b in batch.column(4).to_pylist()]
+            who = np.repeat(np.arange(len(docs)), [len(x) for x in short])
+            place = np.concatenate([np.arange(len(x), dtype=np.uint32) for x in short])
+            at, lists = _in_parts(np.concatenate(short), who, mix(docs.astype(np.uint64)), heavy.value, star)
+            who, place = who[at], place[at]
+            bucket = (mix(lists) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((lists, bucket))
+            lists, who, bucket, place = lists[order], who[order], bucket[order], place[order]
+            edge = np.searchsorted(bucket, np.arange(buckets + 1))
+            out = [[] for _ in range(1 + len(DEALT))]
+            for b in np.flatnonzero(np.diff(edge)):
+                part = slice(edge[b], edge[b + 1])
+                own, back = np.unique(who[part], return_inverse=True)
+                row = (docs[own], sizes[own].astype(np.int32), labels[own], sketches[own], back.astype(np.uint32), lists[part], place[part])
+                out[0].append(int(b))
+                for column, value in zip(out[1:], row, strict=True):
+                    column.append(value.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", *DEALT])
 
     return run
 
 
-def _merge(percent: int, extra: int):
-    """Merge a bucket's inverted lists: (a, b, na, nb, common) of pairs that do not hang together yet.
+def _pairs_of(star: bool, lists: np.ndarray, labels: np.ndarray):
+    """Yields (left, right) places of pairs in postings sorted by list and label, about a million pairs at a time.
+
+    A star pairs a list's first posting with each other one; else postings of one list meet if their labels differ."""
+    new_list = np.concatenate([[True], lists[1:] != lists[:-1]])
+    if star:
+        first = np.maximum.accumulate(np.where(new_list, np.arange(len(lists)), 0))
+        right = np.flatnonzero(~new_list)
+        for i in range(0, len(right), 1_000_000):
+            yield first[right[i : i + 1_000_000]], right[i : i + 1_000_000]
+        return
+    new_label = new_list | np.concatenate([[True], labels[1:] != labels[:-1]])
+    list_end = np.append(np.flatnonzero(new_list)[1:], len(lists))[np.cumsum(new_list) - 1]
+    label_end = np.append(np.flatnonzero(new_label)[1:], len(lists))[np.cumsum(new_label) - 1]
+    partners = list_end - label_end
+    some = np.flatnonzero(partners)
+    ahead = np.cumsum(partners[some])
+    i = 0
+    while i < len(some):
+        j = max(i + 1, int(np.searchsorted(ahead, (ahead[i - 1] if i else 0) + 1_000_000, side="right")))
+        k = partners[some[i:j]]
+        left = np.repeat(some[i:j], k)
+        yield left, label_end[left] + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+        i = j
+
+
+def _merge(percent: int, extra: int, star: bool):
+    """Merge a bucket's inverted lists: (a, b, na, nb, common) of the pairs to look at.
 
     A common shingle counts where it stands early enough in both orders for a
     pair of these sizes: the first 1 + extra common ones of a similar pair do."""
 
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        docs, sizes, comps, counts = join("docs", np.int64), join("sizes", np.int32).astype(np.int64), join("comps", np.int64), join("counts", np.int32)
-        h = unpack(b"".join(table["hashes"].to_pylist()))
-        who = np.repeat(np.arange(len(docs)), counts)
-        order = np.lexsort((comps[who], h))
-        h, who, place = h[order], who[order], join("places", np.uint32).astype(np.int64)[order]
-        comp = comps[who]
-        new_list = np.concatenate([[True], h[1:] != h[:-1]])
-        new_comp = new_list | np.concatenate([[True], comp[1:] != comp[:-1]])
-        list_end = np.append(np.flatnonzero(new_list)[1:], len(h))[np.cumsum(new_list) - 1]
-        comp_end = np.append(np.flatnonzero(new_comp)[1:], len(h))[np.cumsum(new_comp) - 1]
-        partners = list_end - comp_end
-        some = np.flatnonzero(partners)
-        ahead = np.cumsum(partners[some])
-        found: dict[str, list] = {"a": [], "b": [], "c": []}
-        i = 0
-        while i < len(some):
-            # a block of the merge: as many list entries as give about a million pairs
-            j = max(i + 1, int(np.searchsorted(ahead, (ahead[i - 1] if i else 0) + 1_000_000, side="right")))
-            left = np.repeat(some[i:j], partners[some[i:j]])
-            k = partners[some[i:j]]
-            right = comp_end[left] + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+        docs, sizes, labels = join("docs", np.int64), join("sizes", np.int32).astype(np.int64), join("labels", np.int64)
+        sketches = join("sketches", np.uint64).reshape(-1, SKETCH)
+        before = np.cumsum([0, *(len(x.as_py()) // 8 for x in table["docs"])])
+        who = np.concatenate([np.frombuffer(x.as_py(), np.uint32).astype(np.int64) + at for x, at in zip(table["members"], before, strict=False)])
+        lists, place = join("lists", np.uint64), join("places", np.uint32).astype(np.int64)
+        # members of a list by label, then number; the stable sort by list merges the ascending runs
+        order = np.lexsort((docs[who], labels[who]))
+        order = order[np.argsort(lists[order], kind="stable")]
+        lists, who, place = lists[order], who[order], place[order]
+        keys, counts = [], []
+        for left, right in _pairs_of(star, lists, labels[who]):
             a, b = who[left], who[right]
-            na, nb = sizes[a], sizes[b]
-            short = -(-percent * (na + nb) // (100 + percent)) - 1 - extra
-            fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (place[left] < na - short) & (place[right] < nb - short)
-            a, b = a[fits], b[fits]
-            key = np.minimum(a, b) * len(docs) + np.maximum(a, b)
-            key, common = np.unique(key, return_counts=True)
-            found["a"].append(key)
-            found["c"].append(common)
-            i = j
-        key = np.concatenate(found["a"]) if found["a"] else np.zeros(0, np.int64)
-        common = np.concatenate(found["c"]) if found["c"] else np.zeros(0, np.int64)
-        key, back = np.unique(key, return_inverse=True)
-        common = np.bincount(back, common, len(key)).astype(np.int64) if len(key) else common
+            both = sizes[a] + sizes[b]
+            need = -(-percent * both // (100 + percent))
+            fits = (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])) & (place[left] < sizes[a] - need + 1 + extra) & (place[right] < sizes[b] - need + 1 + extra) & (docs[a] != docs[b])
+            a, b, room = a[fits], b[fits], (both - 2 * need)[fits]
+            close = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64) <= room
+            a, b = a[close], b[close]
+            key, common = np.unique(np.minimum(a, b) * len(docs) + np.maximum(a, b), return_counts=True)
+            keys.append(key)
+            counts.append(common)
+        key, back = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+        common = np.bincount(back, np.concatenate([np.zeros(0, np.int64), *counts]), len(key)).astype(np.int64)
         a, b = key // max(len(docs), 1), key % max(len(docs), 1)
         swap = docs[a] > docs[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table({"a": docs[a], "b": docs[b], "na": sizes[a], "nb": sizes[b], "common": common.astype(np.int64)})
+        return pa.table({"a": docs[a], "b": docs[b], "na": sizes[a], "nb": sizes[b], "common": common})
 
     return run
 
@@ -244,7 +293,7 @@ def _needed_sets(n: int, bitmap):
             keep = [i for i in np.flatnonzero(need) if ids[i] is not None]
             if keep:
                 part = batch.column(1).take(pa.array(keep)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([packed_set(h) for h in shingle_sets(part, n)], pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([h.tobytes() for h in shingle_sets(part, n)], pa.binary())], ["doc_id", "set"])
 
     return run
 
@@ -265,7 +314,7 @@ def _verify(percent: int):
             for p, salt, d, s in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 if (p, salt) != at:
                     at, pivots = (p, salt), []
-                own = unpack(s.as_buffer())
+                own = np.frombuffer(s.as_buffer(), np.uint64)
                 if d == p:
                     pivots.append(own)
                 elif any(similar(own, x, percent) for x in pivots):
@@ -291,63 +340,69 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     return rows.mapInArrow(_verify(percent), "a long, b long")
 
 
-def join_components(docs: DataFrame, *, n: int = 4, percent: int = 85, extra: int = 2, frequent: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    found = written(docs.mapInArrow(_summaries(n, 2), "kind int, doc_id long, n long, f1 long, f2 long"), "join-summaries")
-    each = found.where("kind = 0").drop("kind")
-    # exact copies: one class per set, named by its smallest id
-    classes = each.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    same = each.where("n > 0 and doc_id is not null").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep")
-    hot = written(found.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("df")).where("df >= 8"), "join-frequent")
+def candidates(signed: DataFrame, label, buckets: int, heavy, percent: int, extra: int, star: bool) -> DataFrame:
+    """(a, b, na, nb, common) from the merged lists of ``signed``; ``label`` orders a star or names what hangs together."""
+    dealt = signed.select("doc_id", "n", label.cast("long").alias("label"), "sketch", "short").mapInArrow(_deal(buckets, heavy, star), ", ".join(["bucket int", *(f"{c} binary" for c in DEALT)]))
+    return dealt.groupBy("bucket").applyInArrow(_merge(percent, extra, star), PAIRS)
+
+
+def frequent_shingles(seen: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, document frequencies) of the most frequent shingles of ``seen`` (f1, n), at most ``bound``, by hash."""
+    hot = written(seen.groupBy("f1").agg(F.sum("n").alias("df")).where("df >= 8"), "join-frequent")
     # the least document frequency of which the table holds all shingles within its bound, from a small histogram
-    steps = sorted(((r.step, r.n) for r in hot.groupBy(F.floor(F.log2("df") * 16).alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    room, least = frequent, None
-    for step, size in steps:
+    step = F.floor(F.log2("df") * 16)
+    room, least = bound, None
+    for at, size in sorted(((r.step, r.n) for r in hot.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True):
         room -= size
         if room < 0:
             break
-        least = step
-    hot = (hot.where(F.floor(F.log2("df") * 16) >= least) if least is not None else hot.limit(0)).toArrow()
-    values = hot["f1"].to_numpy().view(np.uint64)
-    df = hot["df"].to_numpy()
+        least = at
+    found = (hot.where(step >= least) if least is not None else hot.limit(0)).toArrow()
+    values, df = found["f1"].to_numpy().view(np.uint64), found["df"].to_numpy()
     order = np.argsort(values)
-    sent = spark.sparkContext.broadcast((values[order], df[order]))
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    return values[order], df[order]
+
+
+def join_components(docs: DataFrame, *, n: int = 4, percent: int = 85, extra: int = 2, frequent: int = 1_000_000, longest: int = 500_000, postings: int = POSTINGS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    spark = bounded_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    found = written(docs.mapInArrow(_summaries(n), "kind int, doc_id long, n long, f1 long, f2 long"), "join-summaries")
+    each = found.where("kind = 0").drop("kind")
+    # exact copies: one class per set, named by its smallest id; salted, as a third of all rows may be one class
+    keys = ["n", "f1", "f2"]
+    salted = each.where("n > 0 and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    low = salted.groupBy(*keys, "salt").agg(F.min("doc_id").alias("low"))
+    classes = low.groupBy(*keys).agg(F.min("low").alias("rep"))
+    same = salted.join(low.join(classes, keys).drop("low"), [*keys, "salt"]).select("doc_id", "rep")
+    values, df = frequent_shingles(found.where("kind = 1"), frequent)
+    sent = spark.sparkContext.broadcast((values, df))
+    parts = -(-df // longest)
+    heavy = spark.sparkContext.broadcast((values[parts > 1], parts[parts > 1]))
     signed = docs.mapInArrow(_signatures(n, percent, extra, sent), SIGNATURE)
-    signed = written(signed.join(reps, "doc_id"), "join-signatures")
-
-    # first round: pivots of minimum-hash keys
-    # the document with the fewest rare shingles is nearest to the middle of its copies
-    keyed = signed.select("doc_id", "n", "cold", F.explode("keys").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min(F.struct("cold", "doc_id", "n")).alias("p"), F.count("*").alias("docs")).where("docs > 1").select("key", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pn"))
-    fits = (F.col("doc_id") != F.col("pivot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-    stars = keyed.join(pivots, "key").where(fits).groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("keys"))
-    # one key of KEYS is what unlike documents share; the second round misses nothing that this leaves out
-    stars = stars.where("keys > 1")
+    signed = written(signed.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "join-signatures")
+    total = signed.agg(F.sum(F.octet_length("short")) / 8).first()[0] or 0
+    buckets = max(1, math.ceil(total / postings))
+
+    stars = candidates(signed, F.col("cold"), buckets, heavy, percent, extra, True)
     links = written(verified(docs, stars, n, percent), "join-links")
     first = written(connected_components(links, "join-components"), "join-first")
 
-    # second round: merged short lists between what does not hang together
-    total = signed.agg(F.sum(F.octet_length("short")) / 5).first()[0] or 0
-    buckets = max(1, math.ceil(total / POSTINGS))
-    labelled = signed.join(first, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "short")
-    dealt = labelled.mapInArrow(_deal(buckets), "bucket int, docs binary, sizes binary, comps binary, counts binary, hashes binary, places binary")
-    common = dealt.groupBy("bucket").applyInArrow(_merge(percent, extra), PAIRS)
-    summed = common.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    labelled = signed.join(first, F.col("doc_id") == F.col("node"), "left")
+    pairs = candidates(labelled, F.coalesce("component", "doc_id"), buckets, heavy, percent, extra, False)
+    summed = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     need = F.least(F.lit(1 + extra), F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent)))
-    more = verified(docs, summed.where(F.col("common") >= need), n, percent)
-    links = links.union(written(more, "join-links"))
+    links = links.union(written(verified(docs, summed.where(F.col("common") >= need), n, percent), "join-links"))
 
     edges = links.union(same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    parts = connected_components(edges, "join-components")
-    return each.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    parts_ = connected_components(edges, "join-components")
+    return each.join(parts_, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each component, all columns kept; rows of one id stay or go together."""
     parts = join_components(docs, **params)
     kept = parts.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    kept = kept.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
+    kept = kept.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id")
+    rows = docs.alias("rows")
+    return rows.join(kept.alias("kept"), F.col("rows.doc_id").eqNullSafe(F.col("kept.doc_id")), "left_semi")
