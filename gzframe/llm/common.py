@@ -3,33 +3,18 @@ intermediate tables, connected components and a few column helpers."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (single-machine tests).
-FALLBACK_SHARED = "file:///tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A session without that setting (tests) gets ``FALLBACK_SHARED``."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or FALLBACK_SHARED).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gzframe/{name}-{uuid.uuid4().hex}"
+from gzframe.sources.shared import fresh_path, local_path, shared_dir
 
+__all__ = ["bounded_batches", "connected_components", "fold", "free_name", "fresh_path", "local_path", "partitions", "shared_dir", "slices", "written"]
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no more than the tasks that read it.
-    The table stays under the shared folder's ``gzframe`` until that is cleared."""
+    The table stays in the application's part of the shared folder until the driver ends."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
@@ -82,17 +67,6 @@ def fold(doc_id: Column | str, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(mod).cast("long"))
 
 
-def local_path(uri: str) -> str:
-    """The path of a ``file:`` URI or plain path, for files that Python itself writes or maps.
-
-    Those files must lie where all machines mount the same folder; another scheme is an error."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    if "://" in uri:
-        raise ValueError(f"memory-mapped files need a mounted shared folder, not {uri}")
-    return os.path.abspath(uri)
-
-
 def _roots(pairs):
     """Union-find over integer pairs; yields each node with its smallest linked node."""
     parent: dict[int, int] = {}
