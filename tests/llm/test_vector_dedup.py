@@ -1,6 +1,6 @@
 import numpy as np
 
-from gzframe.llm.vector_dedup import near_vectors, windows
+from gzframe.llm.vector_dedup import near_vectors, plan_for, windows
 
 
 def brute(rows, least):
@@ -53,6 +53,45 @@ def test_kept_is_the_smallest_and_empty(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_recall_at_default_settings_over_many_cells(spark):
+    # some 9,000 vectors: neighbours at all angles about the least one, a dense group, and exact copies
+    rng, rows = np.random.default_rng(7), []
+    for g in range(3000):
+        base = rng.standard_normal(64)
+        base /= np.linalg.norm(base)
+        for _ in range(400 if g == 0 else 2):
+            side = rng.standard_normal(64)
+            side -= side @ base * base
+            cos = rng.uniform(0.9, 0.97)
+            rows.append(base * cos + side / np.linalg.norm(side) * np.sqrt(1 - cos * cos))
+        rows.append(base)
+        if g % 10 == 0:
+            rows += [base] * 3
+    x = np.float32(rows)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = np.concatenate([(unit[i : i + 1000] @ unit.T >= 0.9).sum(axis=1) - 1 for i in range(0, len(unit), 1000)])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in near_vectors(frame).collect()}
+    assert len(got) == len(x) and all(got[i].n_links <= n for i, n in enumerate(links))
+    assert sum(r.n_links for r in got.values()) >= 0.96 * links.sum()
+    # dense cells cut into blocks give the same
+    again = {r.vec_id: r for r in near_vectors(frame, block=100).collect()}
+    assert again == got
+
+
+def test_depth_grows_and_tables_keep_recall():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    plans = [plan_for(x, n, 0.9, 0.02, 1000, 4) for n in (1000, 10_000, 100_000)]
+    assert [p.depth for p in plans] == [0, 4, 7] and plans[0].tables == 1 < plans[1].tables < plans[2].tables
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    for p in plans:
+        assert (p.codes(x) == p.codes(y)).any(axis=1).mean() > 0.95
+
+
 def test_windows_miss_few():
     first, further, need = windows(0.9, 64, 12)
     assert 0 < further < first and 4 <= need <= 11
