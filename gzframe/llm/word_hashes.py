@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes handled at a time, unless one text is longer.
-PIECE = 2_000_000
+#: Bytes handled at a time, unless one text is longer; arrays of 16 times as many bytes are made of them.
+PIECE = 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(64).integers(1, 2**64, 256, dtype=np.uint64)
@@ -21,6 +21,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """What ``mix`` was given."""
+    h = h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
+    h = h * np.uint64(pow(0x94D049BB133111EB, -1, 2**64))
+    h = h ^ (h >> np.uint64(27)) ^ (h >> np.uint64(54))
+    h = h * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 2**64))
+    return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+
+
 class _Powers:
     up = np.ones(1, np.uint64)
     down = np.ones(1, np.uint64)
@@ -51,20 +60,20 @@ def _hash_joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(texts))
 
 
-def word_hashes(texts: list[str | None]):
-    """Yields (first text's index, hashes of all words, words per text) for consecutive texts; A-Z count as a-z."""
+def word_hashes(texts: list[str | None], piece: int = PIECE):
+    """Yields (first text's index, hashes of all words, words per text) for consecutive texts, about ``piece`` bytes at a time; A-Z count as a-z."""
     part: list[bytes] = []
     first = size = 0
     for i, t in enumerate(texts):
         data = t.encode("utf-8", "replace") if t else b""
-        if part and size + len(data) > PIECE:
+        if part and size + len(data) > piece:
             yield first, *_hash_joined(part)
             part, first, size = [], i, 0
         part.append(data)
         size += len(data) + 1
     if part:
         yield first, *_hash_joined(part)
-    if len(_Powers.up) > 4 * PIECE:
+    if len(_Powers.up) > 2 * piece:
         _Powers.up = _Powers.down = np.ones(1, np.uint64)
 
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gzframe.llm.katz import GT, factors, pieces, score, train
+from gzframe.llm.katz import GT, HOT, factors, pieces, score, train
 from tests.llm.fixtures import DOCS, rows
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,11 +58,11 @@ def data():
     return [*docs, *((r[0], r[1]) for r in rows() if r[0] != 7), (7, "UNSEEN words here w1 w2"), (7, "UNSEEN words here w1 w2")]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_equal_the_plain_recursion(spark, tmp_path, order):
+@pytest.mark.parametrize("order,hot_from", [(1, HOT), (2, HOT), (3, HOT), (2, 4), (3, 4)])
+def test_scores_equal_the_plain_recursion(spark, tmp_path, order, hot_from):
     docs = data()
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = score(frame, order=order, folder=str(tmp_path / "k")).collect()
+    got = score(frame, order=order, folder=str(tmp_path / "k"), hot_from=hot_from).collect()
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     p, uni, total, _ = brute([t for d, t in docs if not held(d)], order)
     types = len(uni)
