@@ -3,15 +3,24 @@
 All rolling three-word hashes of every document are joined to the positions of
 the same hashes in the license templates (a fixed list, so its broadcast has a
 fixed bound). Matches are counted by (document, template, diagonal), the
-diagonal being document position less template position. A full diagonal of a
-base phrase is a place where the phrase stands word for word. Neighbouring
-diagonals of the longer templates are merged, which bridges words put in or
-left out, and a merged span counts when it covers enough of its template.
+diagonal being document position less template position, with the set of
+template positions that matched (a bit each). A full diagonal of a base phrase
+is a place where the phrase stands word for word.
+
+For the longer templates each diagonal is merged with those up to ``BAND``
+after it, which bridges words put in or left out. A merged span is a candidate
+when ``VOTES`` of the template's positions voted, each counted once however
+often its words are repeated, and verified when the words under those positions
+are ``COVER`` of the template's words. Diagonals that near keep the order of the
+words: parts that change places lie as many diagonals apart as they are long.
 
 Defined cases: a null or empty text has no words, null positions, empty labels
-and score 0; repeated rows are scanned each; a document that is all license is
-only as many rows as it has words; an empty table gives an empty result;
-further columns are ignored."""
+and score 0; texts of any length are scanned whole; repeated rows are scanned
+each; a document that is all license is only as many rows as it has words; of
+merged spans of one template near each other the one of greatest cover counts,
+of equal ones the first; of overlapping spans of several templates all of
+greatest cover count; an empty table gives an empty result; further columns are
+ignored."""
 
 from __future__ import annotations
 
@@ -22,10 +31,10 @@ from pyspark.sql.window import Window
 K = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Longest distance between diagonals that are merged.
-BAND = 4
-#: Least share of a template's hashes in a merged span.
-COVER = 0.8
+#: Longest distance between diagonals that are merged; less than any template's words.
+BAND = 6
+#: Least share of a template's positions that vote for a span, and of its words that they cover.
+VOTES, COVER = 0.6, 0.8
 
 # Base phrases and their labels.
 BASE = {
@@ -80,23 +89,27 @@ def matches(docs: DataFrame) -> DataFrame:
     hits = rows.join(F.broadcast(known), "hash")
     diagonal = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("pos") - 1 - F.col("at"))
     return hits.groupBy("row", "doc_id", "template", "label", "base", "grams", diagonal.alias("diagonal")).agg(
-        F.count("*").alias("matched"), F.min(F.col("pos") - 1).alias("first"), (F.max("pos") + K - 2).alias("last"), F.max("value").alias("n_words")
+        F.count("*").alias("matched"), F.bit_or(F.expr("CASE WHEN at < 0 THEN 0L ELSE shiftleft(1L, at) END")).alias("votes"), F.min(F.col("pos") - 1).alias("first"), (F.max("pos") + K - 2).alias("last"), F.max("value").alias("n_words")
     )
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """Merged and verified spans: row, doc_id, template, label, base, start, first, last, cover; template -1 carries n_words.
 
-    A base phrase must match in full on one diagonal; other templates need ``COVER`` of their hashes on neighbouring ones."""
-    w = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > BAND, F.lit(False)) | F.col("base")
-    grouped = matches(docs).withColumn("new", apart.cast("int")).withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = grouped.groupBy("row", "doc_id", "template", "label", "base", "grams", "span").agg(
-        F.sum("matched").alias("matched"), F.min("diagonal").alias("start"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("n_words").alias("n_words")
-    )
-    cover = F.when(F.col("grams") > 0, F.least(F.col("matched") / F.col("grams"), F.lit(1.0))).otherwise(F.lit(0.0))
-    least = F.when(F.col("base"), F.lit(1.0)).otherwise(F.lit(COVER))
-    return merged.withColumn("cover", cover).where((F.col("template") < 0) | (F.col("cover") >= least))
+    A base phrase must match in full on one diagonal; ``cover`` is the share of the template's words."""
+    by = Window.partitionBy("row", "template").orderBy("diagonal")
+    after, around = by.rangeBetween(0, BAND), by.rangeBetween(-BAND, BAND)
+    votes = F.bit_or("votes").over(after)
+    merged = matches(docs).withColumns({"first": F.min("first").over(after), "last": F.max("last").over(after), "all": votes, "n_words": F.col("n_words")})
+    words = F.bit_count(F.col("all").bitwiseOR(F.shiftleft("all", 1)).bitwiseOR(F.shiftleft("all", 2)))
+    enough = F.bit_count("all") >= VOTES * F.col("grams")
+    cover = F.when(F.col("template") < 0, 0.0).when(F.col("base"), F.col("matched") / F.col("grams")).when(enough, words / (F.col("grams") + K - 1)).otherwise(0.0)
+    scored = merged.withColumn("cover", cover)
+    best = F.max(F.struct("cover", (-F.col("diagonal")).alias("turn"))).over(around)
+    ranked = scored.withColumn("best", F.col("base") | (-best.turn == F.col("diagonal")))
+    least = F.when(F.col("base"), 1.0).otherwise(COVER)
+    kept = ranked.where((F.col("template") < 0) | ((F.col("cover") >= least) & F.col("best")))
+    return kept.select("row", "doc_id", "template", "label", "base", F.col("diagonal").alias("start"), "first", "last", "cover", "n_words")
 
 
 def scan(docs: DataFrame) -> DataFrame:
