@@ -17,8 +17,11 @@ more each, and network addresses any octets. The few that needed a
 further attempt enter as literals up to ``MAP_ROWS``, beyond by a join.
 
 Defined cases: null text stays null with 0 entities; empty texts stay; texts of
-any length are processed whole; repeated rows give repeated rows; an empty
-table gives an empty result; further columns are kept by ``pseudonymise``."""
+any length are processed whole; the match that begins first is an entity, and of
+those that begin together the first kind of the pattern; repeated rows give repeated rows; an empty
+table gives an empty result; ``pseudonymise`` keeps further columns whatever
+their names: where one is called n_entities or kinds, the result's own gets
+underscores before its name."""
 
 from __future__ import annotations
 
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gzframe.llm.common import written
+from gzframe.llm.common import bounded_batches, free_name, written
 
 # Forms of address by gender.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sir", "господин")
@@ -58,17 +61,20 @@ ALPHABETS = (
 )
 
 TITLES = "|".join(sorted({*MALE, *FEMALE, *NEUTRAL}, key=lambda t: (-len(t), t)))
-EMAIL = r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})+"
+# the part before @ is tried from its beginning only, and never again in shorter form
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})+"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
-SECRET = r"\b(?:AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,128}|[0-9A-F]{32,128})\b|(?i:(?<=(?:token|secret|password|passwd|api_key|apikey|key)[ ]{0,2}[=:][ ]{0,2}[\"']?))[A-Za-z0-9_+/.-]{8,}"
+# one character is looked at before the longer look behind
+SECRET = r"\b(?:AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,128}|[0-9A-F]{32,128})\b|(?<=[=: \"'])(?=[A-Za-z0-9_+/.-]{8})(?i:(?<=(?:token|secret|password|passwd|api_key|apikey|key)[ ]{0,2}[=:][ ]{0,2}[\"']?))[A-Za-z0-9_+/.-]{8,}"
 CARD = r"(?<![\d-])(?:\d{4}[ -]?){3}\d{1,7}(?![\d-])"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}(?:[ .-]\d{2,4}){0,3}(?!\d)|\+\d{8,15}\b"
 PERSON = rf"(?<![\p{{L}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-ENTITY = "|".join((EMAIL, SECRET, IBAN, CARD, ADDRESS, SOCIAL, PHONE, PERSON))
-#: A text that lacks all of these holds no entity.
-MAY_HOLD = rf"[0-9@]|(?:{TITLES})\.? \p{{Lu}}|(?i:token|secret|passw|key)[ ]{{0,2}}[=:]"
+NUMERIC = rf"(?=[\d+(])(?:{'|'.join((CARD, ADDRESS, SOCIAL, PHONE))})"
+ENTITY = "|".join((EMAIL, SECRET, IBAN, NUMERIC, PERSON))
+#: Fixed value: a noncharacter put around entities; texts that hold it are searched twice instead.
+MARK = "\ufdd0"
 
 #: Entities with further attempts that are put in the plan as literals.
 MAP_ROWS = 200
@@ -164,17 +170,25 @@ def _drawn(e: Column, kind: Column, seed: Column, attempt: Column) -> Column:
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "address", address).when(kind == "card", card).when(kind == "account", account).when(kind == "person", person).when(kind == "social", F.concat(plain, digits)).otherwise(secret)
 
 
-def _split(docs: DataFrame) -> DataFrame:
-    """``docs`` with arrays ``_between`` (one more than entities) and ``_found``; both null where there is none."""
-    may = F.col("text").rlike(MAY_HOLD)
-    return docs.withColumn("_found", F.when(may, F.regexp_extract_all("text", F.lit(ENTITY), 0)))
+def pieces(text: Column) -> Column:
+    """What stands before, in and between the entities of ``text`` and after them: entities are the pieces of odd number."""
+    marked = F.split(F.regexp_replace(text, f"({ENTITY})", f"{MARK}$1{MARK}"), MARK, -1)
+    # zip to one array; the last piece has no entity after it
+    twice = F.flatten(F.zip_with(F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), 0), lambda a, b: F.array(a, b)))
+    return F.when(F.contains(text, F.lit(MARK)), F.filter(twice, lambda x: x.isNotNull())).otherwise(marked)
+
+
+def entities(parts: Column) -> Column:
+    """struct<e, kind, norm> of each entity."""
+    found = F.filter(parts, lambda x, i: i % 2 == 1)
+    kinds = F.transform(found, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
+    return F.transform(kinds, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), normal(x.e, x.kind).alias("norm")))
 
 
 def attempts(docs: DataFrame, key: str) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogates collide, with the attempt at which none does."""
-    mentions = _split(docs.select("text")).select(F.explode("_found").alias("e"))
-    mentions = mentions.withColumn("kind", kind_of(F.col("e")))
-    each = mentions.withColumn("norm", normal(F.col("e"), F.col("kind"))).groupBy("kind", "norm").agg(F.min("e").alias("e"))
+    mentions = docs.select(F.explode(entities(pieces(F.col("text")))).alias("x")).select("x.*")
+    each = mentions.groupBy("kind", "norm").agg(F.min("e").alias("e"))
     each = written(each, "pii-entities")
     real = each.select("kind", "norm")
 
@@ -195,30 +209,30 @@ def attempts(docs: DataFrame, key: str) -> DataFrame:
 
 
 def pseudonymise(docs: DataFrame, key: str = "gzframe") -> DataFrame:
-    """``docs`` with every entity in ``text`` replaced; adds n_entities and kinds (distinct, sorted, comma-joined)."""
+    """``docs`` with every entity in ``text`` replaced, and two columns more: n_entities and kinds (distinct, sorted, comma-joined)."""
+    bounded_batches(docs.sparkSession)
+    parts, found, to, row, count, kinds = (free_name(docs, c) for c in ("_parts", "_entities", "_to", "_row", "n_entities", "kinds"))
     again = attempts(docs, key)
     few = again.limit(MAP_ROWS + 1).collect()
-    base = _split(docs)
-    kinds = F.transform("_found", lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
-    base = base.withColumn("_found", F.when(F.size("_found") > 0, F.transform(kinds, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), normal(x.e, x.kind).alias("norm")))))
+    base = docs.withColumn(parts, pieces(F.col("text")))
+    base = base.withColumn(found, F.when(F.size(parts) > 1, entities(F.col(parts))))
     if len(few) <= MAP_ROWS:
         tries = F.create_map(*[v for r in few for v in (F.lit(f"{r.kind}\x1f{r.norm}"), F.lit(r.attempt))]) if few else None
         attempt = lambda x: F.coalesce(tries[F.concat_ws("\x1f", x.kind, x.norm)], F.lit(0)) if few else F.lit(0)
-        base = base.withColumn("_to", F.transform("_found", lambda x: surrogate(x.e, x.kind, x.norm, attempt(x), key)))
+        base = base.withColumn(to, F.transform(found, lambda x: surrogate(x.e, x.kind, x.norm, attempt(x), key)))
     else:
-        numbered = written(base.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-        each = numbered.where("_found is not null").select("_row", F.posexplode("_found").alias("at", "x")).select("_row", "at", "x.*")
-        each = each.join(again, ["kind", "norm"], "left")
-        to = surrogate(F.col("e"), F.col("kind"), F.col("norm"), F.coalesce("attempt", F.lit(0)), key)
-        lists = each.withColumn("to", to).groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "to"))), lambda x: x.to).alias("_to"))
-        base = numbered.join(lists, "_row", "left").drop("_row")
-    between = F.split("text", ENTITY, -1)
-    joined = F.array_join(F.zip_with(between, F.concat("_to", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        # only rows with an entity that was drawn again get anything from the join
+        base = written(base.withColumn(row, F.monotonically_increasing_id()), "pii-rows")
+        each = base.where(F.col(found).isNotNull()).select(F.col(row).alias("row"), F.posexplode(found).alias("at", "x")).select("row", "at", "x.kind", "x.norm")
+        tries = each.join(again, ["kind", "norm"]).groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias(to))
+        base = base.join(tries, row, "left").drop(row)
+        base = base.withColumn(to, F.transform(found, lambda x, i: surrogate(x.e, x.kind, x.norm, F.coalesce(F.element_at(to, i), F.lit(0)), key)))
+    joined = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.get(F.col(to), ((i - 1) / 2).cast("int"))).otherwise(x)), "")
     out = base.withColumns(
         {
-            "text": F.when(F.col("_to").isNotNull(), joined).otherwise(F.col("text")),
-            "n_entities": F.coalesce(F.size("_to"), F.lit(0)).cast("long"),
-            "kinds": F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("_found", lambda x: x.kind))), ","), F.lit("")),
+            count: F.greatest(F.coalesce(F.size(found), F.lit(0)), F.lit(0)).cast("long"),
+            kinds: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x.kind))), ","), F.lit("")),
+            "text": F.when(F.col(to).isNotNull(), joined).otherwise(F.col("text")),
         }
     )
-    return out.withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long"))).drop("_found", "_to")
+    return out.drop(parts, found, to)
