@@ -8,24 +8,28 @@ The lexicon is learned: words and word beginnings whose share of toxic
 training texts far exceeds that of others. Lexicon, trees and calibration use
 at most ``sample_rows`` labelled training rows (those of smallest hashed id),
 a documented bound; the counting and the features run on the executors, and
-only the features of the sample reach the driver.
-
-Defined cases: null and empty texts are scored from zero features; without
-labelled training rows every score is 0; a document with several labels is
-trained on once per label; an empty table gives an empty result; repeated
+only the features of the sample reach the driver. Every feature is one rule for
+texts of all lengths.
+
+Defined cases: null and empty texts are scored from zero features; very long
+texts are measured whole; without labelled training rows every score is 0; a
+document with several labels is trained on once per label; rows of one doc_id
+are trained on each, ties of hashed ids in order of (doc_id, label); equal
+features give equal scores; an empty table gives an empty result; repeated
 rows are scored each; further columns are ignored."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gzframe.llm.common import fold
+from gzframe.llm.common import bounded_batches, fold, slices
 
 #: Second-person words of the corpus languages.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch sie ihnen tu te toi ton ta tes vous votre vos tú ti tu tus usted ustedes vosotros os".split())
@@ -33,13 +37,30 @@ SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr eu
 DISGUISE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": "", "+": "t"}
 UNMASK = str.maketrans(DISGUISE)
 EDGES = ".,;:!?()[]{}\"'«»„“”‘’…|*#%&$<>/\\=+-_~`^"
-REPEATED = re.compile(r"(.)\1\1")
 INSIDE = re.compile(r"[^\W\d_][\d@$!*._+-]+[^\W\d_]")
 BEGIN = (4, 5, 6)
 
 FEATURES = ("words", "begins", "disguised", "any_hit", "hits_log", "distinct_hits", "person", "near_person", "capitals", "shouted", "exclaims", "questions", "marks", "digits", "obfuscated", "repeats", "word_length", "length_log")
 
 
+@lru_cache(maxsize=1)
+def upper_case() -> np.ndarray:
+    """Whether each code point is an upper-case letter."""
+    return np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
+
+
+def capitals_and_repeats(text: str) -> tuple[int, int]:
+    """Upper-case letters, and threes of one character (line ends aside) in runs of it."""
+    capitals = repeats = 0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes):
+        capitals = int(upper_case()[codes].sum())
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        runs = np.diff(np.append(first, len(codes)))
+        repeats = int((runs[codes[first] != 10] // 3).sum())
+    return capitals, repeats
+
+
 def entries(words: set[str]):
     """Lexicon entries that a text's words can match: themselves and, with ``^``, their beginnings."""
     out = set(words)
@@ -73,7 +94,7 @@ def features(text: str | None, lexicon: frozenset[str], begins: frozenset[str])
     size = max(1, len(text))
     upper = sum(map(str.isupper, raw))
     letters = sum(map(len, words)) or 1
-    capitals = sum(1 for c in text if c.isupper()) if size < 2000 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    capitals, repeats = capitals_and_repeats(text)
     digits = sum(len(w) for _, w in odd if w.isdigit())
     return [
         len(exact) / n,
@@ -91,7 +112,7 @@ def features(text: str | None, lexicon: frozenset[str], begins: frozenset[str])
         (size - letters - text.count(" ") - text.count("\n")) / size,
         digits / size,
         sum(1 for _, w in odd if INSIDE.search(w)) / n,
-        len(REPEATED.findall(text)) / size if size < 200_000 else sum(len(REPEATED.findall(text[i : i + 100_000])) for i in range(0, size, 100_000)) / size,
+        repeats / size,
         letters / n,
         float(np.log1p(n)),
     ]
@@ -260,15 +281,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, lexicon_s
 
 def score(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8000, threshold: float = 0.7, mod: int = 3, out: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted; learns from rows whose crc32(doc_id) mod ``mod`` is not ``out``."""
+    bounded_batches(docs.sparkSession)
     base = docs.select("doc_id", "text").withColumn("held_out", fold("doc_id", mod) == out)
     model = train(base.where("not held_out"), labels.where(fold("doc_id", mod) != out), sample_rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                s = sent.value.score(part.column(1).to_pylist())
+            i = 0
+            for texts in slices(batch.column(1)):
+                part = batch.slice(i, len(texts))
+                s = sent.value.score(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                i += len(texts)
 
     return base.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -88,3 +88,87 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score(frame, none).collect()] == [0.0]
     assert toxicity.score(frame.limit(0), none).count() == 0
+
+
+def slow_features(text, lexicon, begins):
+    """The rates of a text by plain loops over its characters and words."""
+    raw = text.split()
+    w = [x.strip(toxicity.EDGES) for x in text.lower().split()]
+    n, size, letters = max(1, len(raw)), max(1, len(text)), sum(map(len, w)) or 1
+    unmask = lambda x: "".join(toxicity.DISGUISE.get(c, c) for c in x)
+    exact = [x in lexicon for x in w]
+    begin = [any(x[:k] in begins for k in (4, 5, 6)) for x in w]
+    masked = [bool(x) and not x.isalpha() and not x.isdigit() and unmask(x) != x and unmask(x) in lexicon for x in w]
+    hits = [i for i in range(len(w)) if exact[i] or begin[i] or masked[i]]
+    person = [i for i, x in enumerate(w) if x in toxicity.SECOND_PERSON]
+    threes = i = 0
+    while i < len(text):
+        if text[i] != "\n" and text[i : i + 3] == text[i] * 3:
+            threes, i = threes + 1, i + 3
+        else:
+            i += 1
+    return [
+        sum(exact) / n, sum(begin) / n, sum(masked) / n, float(bool(hits)), np.log1p(len(hits)), len({w[i] for i in hits}), len(person) / n,
+        sum(any(abs(i - p) <= 5 for p in person) for i in hits) / n, sum(c.isupper() for c in text) / letters, sum(x.isupper() for x in raw) / n,
+        text.count("!") / n, text.count("?") / n, (size - letters - text.count(" ") - text.count("\n")) / size,
+        sum(len(x) for x in w if x.isdigit()) / size, sum(bool(x) and not x.isalpha() and bool(toxicity.INSIDE.search(x)) for x in w) / n, threes / size, letters / n, np.log1p(n),
+    ]
+
+
+def test_features_follow_one_rule_at_any_length():
+    rng = random.Random(4)
+    lexicon, begins = frozenset(["slime", "filth"]), frozenset(["verm"])
+    line = "Ōkami ŽIVOT ДОМ ΣΟΦΙΑ you f1lth! slimeee aaaa\n\n\n "
+    texts = ["", line, *("".join(rng.choices("aAbŽД you slime f1lth vermin !?1\n", k=k)) for k in (5, 50, 700))]
+    for t in texts:
+        assert np.allclose(toxicity.features(t, lexicon, begins), slow_features(t, lexicon, begins)), t
+    name = toxicity.FEATURES.index
+    one = toxicity.features(line, lexicon, begins)
+    for k in (30, 60, 5000):  # below and above 2,000 and 200,000 characters
+        many = toxicity.features(line * k, lexicon, begins)
+        assert all(many[name(f)] == np.float64(one[name(f)]) or abs(many[name(f)] - one[name(f)]) < 1e-12 for f in ("capitals", "repeats", "shouted", "words", "disguised"))
+
+
+def test_toxicity_query_equals_scoring_each_text(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice([*WORDS["en"], *(["slime", "f1lth"] if i % 3 == 0 else [])]) for _ in range(40))) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    keep = spark.createDataFrame([(i,) for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1], "doc_id long")
+    model = toxicity.train(frame.join(keep, "doc_id"), labels.join(keep, "doc_id"))
+    want = {}
+    for i, t in docs:
+        x = slow_features(t, model.lexicon, model.begins)
+        raw = model.trees.base
+        for tree in model.trees.trees:
+            at = 0
+            while tree[at][0] >= 0:
+                at = 2 * at + (2 if x[tree[at][0]] > tree[at][1] else 1)
+            raw += tree[at][2]
+        want[i] = float(np.interp(raw, *model.knots))
+    got = {r.doc_id: r.score for r in toxicity.score(frame, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_language_query_equals_scoring_each_text(spark):
+    data = texts(random.Random(12), 150)
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    keep = [d for d in data if zlib.crc32(str(d[0]).encode()) % 3 != 1]
+    model = langid.train(spark.createDataFrame(keep, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in langid.identify(frame).collect()}
+    for i, t, _ in data:
+        c = langid.counts_of(t, model.bits)
+        p = langid.softmax((c @ model.table.astype(np.float64) / c.sum() + model.bias) / model.temperature)
+        assert got[i].lang_pred == model.labels[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-4
+
+
+def test_rare_languages_are_learned_and_repeated_ids_are_one_example(spark):
+    rng = random.Random(13)
+    data = [(i, " ".join(rng.choice(WORDS["en"]) for _ in range(20)), "en") for i in range(3000)] + [(5000 + i, " ".join(rng.choice(WORDS["fr"]) for _ in range(20)), "fr") for i in range(12)]
+    data += [(1, data[1][1], "en")] * 500
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    s = langid.Settings(sample_rows=200)
+    model = langid.train(frame, s)
+    assert model.labels == ["en", "fr"]
+    assert langid.train(frame.repartition(5), s).table.tobytes() == model.table.tobytes()
+    assert len(langid.sampled_ids(frame.select("doc_id", "lang"), s)) <= 200
