@@ -7,13 +7,17 @@ smallest 64-bit integer). Shards follow ascending doc_id; a shard's base is
 the prefix sum of the id counts before it. Files are written under a
 temporary name and renamed, so a repeated task leaves the same files.
 
-White space always ends a token of this tokenizer's pre-tokenizer and no
-normaliser joins across it, so texts are encoded word by word through a
-bounded cache of encoded words; a test compares with whole-text encoding.
-
-Defined cases: null or empty text has the end id alone; rows of equal doc_id
-are all written, in order of their ids; an empty table writes no file and
-gives no row; further columns are ignored."""
+Where a tokenizer's normaliser and pre-tokenizer are exactly those of
+``BY_WORD``, white space always ends a token and nothing joins across it: texts
+are then encoded word by word through a bounded cache of encoded words, and a
+word of ASCII letters and digits apart from the marks after it. All other words
+take the library's whole path, as do the whole texts of any other tokenizer.
+Tests compare with whole-text encoding.
+
+Defined cases: null or empty text has the end id alone; texts of any length are
+encoded whole; rows of equal doc_id are all written, in order of their ids as
+bytes; an empty table writes no file and gives no row; further columns are
+ignored."""
 
 from __future__ import annotations
 
@@ -21,44 +25,73 @@ import json
 import os
 import zlib
 from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gzframe.llm.common import fresh_path, local_path, partitions
+from gzframe.llm.common import bounded_batches, fresh_path, local_path, partitions, slices
 
 NULL_ID = -(2**63)
 #: Encoded words kept by a worker; the cache starts anew when it is full.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 #: Words longer than this are encoded but not kept.
 CACHE_CHARS = 64
 #: Marks that a word can end with and that are always tokens of their own kind (no apostrophe, no special token's bracket).
 TAIL = ".,;:!?)]}%#*$&\"|"
 
 
-class WordEncoder:
-    """Ids of whole texts, as bytes of ``dtype``, through a cache of words."""
+# The normaliser and pre-tokenizer for which words can be encoded apart.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+class Encoder:
+    """Ids of whole texts, as bytes of ``dtype``, by the library alone."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.cache, self.cores = Tokenizer.from_file(path), dtype, {}, {}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 20_000):
+            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        return out
+
+    def __call__(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        return [ids + end for ids in self.encoded([t or "" for t in texts])]
+
+
+class WordEncoder(Encoder):
+    """The same through a cache of words, for tokenizers that are as ``BY_WORD`` says."""
+
+    def __init__(self, path: str, dtype: str):
+        super().__init__(path, dtype)
+        self.cache: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     def ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of each word: a lower-case word of letters alone is one piece for the library's model, others take its whole path."""
-        whole = [w for w in words if not (w.isalpha() and w.islower() and (w.isascii() or is_normalized("NFC", w)))]
+        """Ids of each word: one of ASCII lower-case letters alone is one piece for the library's model, others take its whole path."""
+        whole = [w for w in words if not (w.isascii() and w.isalpha() and w.islower())]
         ready = dict(zip(whole, self.encoded(whole), strict=True))
         model, dtype = self.tokenizer.model, self.dtype
-        return [ready[w] if w in ready else np.array([t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(PRINTED))], dtype=dtype).tobytes() for w in words]
-
-    def encoded(self, words: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(words), 20_000):
-            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-        return out
+        return [ready[w] if w in ready else np.array([t.id for t in model.tokenize(w)], dtype=dtype).tobytes() for w in words]
 
     def learn(self, words: list[str]) -> None:
         """Put the ids of ``words`` in the cache, by their core and tail where that is exact."""
@@ -66,11 +99,9 @@ class WordEncoder:
         split = []
         for w in words:
             core = w.rstrip(TAIL)
-            # ASCII letters lose their case in the tokenizer too; a mark between core and tail would join the tail
+            # ASCII letters lose their case in the tokenizer too; beyond ASCII a lower-case form may end in a mark, which joins the tail
             if core and core.isascii() and core.isalnum():
                 split.append((core.lower(), w[len(core) :]))
-            elif core and core.isalnum():
-                split.append((core, w[len(core) :]))
             else:
                 split.append((w, ""))
         missing = list({x for pair in split for x in pair if x not in cores})
@@ -95,15 +126,16 @@ class WordEncoder:
         return out
 
 
-#: Byte-level alphabet: bytes without a printed form, in order, stand as the characters from 256 on.
-PRINTED = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: The ASCII white space, made plain blanks.
 BLANKS = {c: " " for c in range(0x09, 0x0E)}
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, dtype: str) -> WordEncoder:
-    return WordEncoder(path, dtype)
+@lru_cache(maxsize=1)
+def encoder(path: str, dtype: str) -> Encoder:
+    with open(path, encoding="utf-8") as f:
+        kind = json.load(f)
+    by_word = all(kind.get(k) == v for k, v in BY_WORD.items()) and not any(any(c.isspace() for c in x["content"]) or x["lstrip"] or x["rstrip"] for x in kind["added_tokens"])
+    return (WordEncoder if by_word else Encoder)(path, dtype)
 
 
 def vocabulary_size(path: str) -> int:
@@ -116,7 +148,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str | None = None, *
     """Encode ``docs`` (doc_id, text) and write its shards under ``out`` (a mounted shared folder).
 
     Returns the folder and the manifest: shard, n_docs, n_tokens, base."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     folder = local_path(out or fresh_path(spark, "tokens"))
     os.makedirs(folder, exist_ok=True)
     dtype = "<u2" if vocabulary_size(tokenizer) <= 65536 else "<u4"
@@ -130,9 +162,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str | None = None, *
         for batch in batches:
             ids = batch.column(0).to_pylist()
             shard = np.searchsorted(bounds, np.array([-np.inf if i is None else i for i in ids], dtype=np.float64), side="right").astype(np.int32)
-            for i in range(0, len(ids), 500):
-                texts = batch.column(1).slice(i, 500).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(shard[i : i + 500]), pa.array(ids[i : i + 500], pa.int64()), pa.array(enc(texts, end), pa.binary())], ["shard", "doc_id", "ids"])
+            i = 0
+            for texts in slices(batch.column(1)):
+                j = i + len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[i:j]), pa.array(ids[i:j], pa.int64()), pa.array(enc(texts.to_pylist(), end), pa.binary())], ["shard", "doc_id", "ids"])
+                i = j
 
     def write(batches):
         width = int(dtype[2])

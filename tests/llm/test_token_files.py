@@ -1,9 +1,11 @@
+import json
+import random
 import zlib
 
 import numpy as np
 import pytest
 
-from gzframe.llm.token_files import WordEncoder, read_token_files, write_token_files
+from gzframe.llm.token_files import WordEncoder, encoder, read_token_files, write_token_files
 from tests.llm.fixtures import DOCS, rows
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -25,6 +27,32 @@ def test_words_give_the_ids_of_whole_texts(monkeypatch):
     assert small(texts, b"") == enc(texts, b"")
 
 
+#: Letters whose lower case is longer or ends in a mark, marks that compose, digits of other scripts, white space and tails.
+LETTERS = [*"aZéÉİıßẞΣςσǅﬁKÅΩàб٣½²Ⅳ", "\u0301", "\u0307", "\u0345", "\u200b", "\ufe0f", *".,;:!?)]}%#*$&\"|'<", " ", "\t", "\u00a0", "\u0085", "\x1c", "'s", "'ll", "<|endoftext|>"]
+
+
+def test_fuzzed_texts():
+    rng = random.Random(5)
+    texts = ["DENİZLİ.", "TÜRKİYE, İZMİR BELEDİYESİ!", *("".join(rng.choices(LETTERS, k=rng.randrange(1, 12))) for _ in range(20_000))]
+    enc, lib = WordEncoder(PATH, "<u2"), tokenizers.Tokenizer.from_file(PATH)
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, got, ids in zip(texts, enc(texts, b""), want, strict=True) if np.frombuffer(got, "<u2").tolist() != ids]
+    assert not wrong
+
+
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    kind = json.load(open(PATH))
+    assert isinstance(encoder(PATH, "<u2"), WordEncoder)
+    kind["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    other = str(tmp_path / "other.json")
+    json.dump(kind, open(other, "w"))
+    enc = encoder(other, "<u2")
+    assert not isinstance(enc, WordEncoder)
+    text = "two words. İZMİR."
+    assert np.frombuffer(enc([text], b"")[0], "<u2").tolist() == tokenizers.Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+    assert enc([None], b"\1\0") == [b"\1\0"]
+
+
 def test_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([*rows(), (None, "no id", None, None, None, None, None)], DOCS)
     folder, manifest = write_token_files(docs, PATH, str(tmp_path / "t"), shards=3)
