@@ -4,28 +4,34 @@ Sparse multinomial logistic regression on TF-IDF character 1- to 3-grams
 (hashed), trained with follow-the-regularised-leader and elastic-net
 penalties, then temperature calibration.
 
-Document frequencies cover every training text; the regression is fitted on
-the driver on at most ``sample_rows`` labelled training texts (those of
-smallest hashed id), a documented bound. Term frequencies are relative, so a
-text's logits are a mean of table rows and a text of any length is scored in
-bounded pieces.
+Document frequencies cover every training text. The languages are those of all
+training rows (the ``languages`` most frequent, a documented bound); the
+regression is fitted on the driver on at most ``sample_rows`` labelled texts,
+a documented bound, drawn by hashed id in equal numbers from each language.
+Term frequencies are relative, so a text's logits are a mean of table rows and
+a text of any length is scored in bounded pieces.
 
 Defined cases: a null text or one without a letter gives ``und`` with score 0;
 null or missing languages are not learned from; without any labelled training
-text every text is ``und``; an empty table gives an empty result; further
-columns are ignored; repeated rows are scored each."""
+text every text is ``und``; of languages with equal scores the first by name
+is given; of rows with one doc_id the smallest (lang, text) is trained on; an
+empty table gives an empty result; further columns are ignored, and kept by
+``keep_identified`` whatever their names; repeated rows are scored each."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.window import Window
 
-from gzframe.llm.common import fold
+from gzframe.llm.common import bounded_batches, fold, free_name, slices
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Characters hashed at a time.
@@ -62,6 +68,7 @@ def counts_of(text: str, bits: int) -> np.ndarray:
 class Settings:
     bits: int = 15
     sample_rows: int = 3000
+    languages: int = 500
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -200,14 +207,34 @@ def document_frequencies(docs: DataFrame, bits: int) -> tuple[int, np.ndarray]:
     return texts, df
 
 
+def sampled_ids(labelled: DataFrame, s: Settings) -> list[int]:
+    """At most ``sample_rows`` ids of ``labelled`` (doc_id, lang), about as many of each language; texts are not read."""
+    known = labelled.where("doc_id is not null")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.languages).collect()
+    if not counts:
+        return []
+    # languages of few rows leave their room to the others
+    room, share = s.sample_rows, {}
+    for k, r in enumerate(sorted(counts, key=lambda r: (r.n, r.lang))):
+        share[r.lang] = min(r.n, max(1, room // (len(counts) - k)))
+        room = max(0, room - share[r.lang])
+    chance = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, 1.5 * share[r.lang] / r.n + 20 / r.n), share[r.lang]) for r in counts], "_lang string, chance double, share long")
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    few = known.join(F.broadcast(chance), F.col("lang") == F.col("_lang")).where(drawn < F.col("chance")).groupBy("lang", "share", "doc_id").agg(F.min(F.xxhash64("doc_id")).alias("h"))
+    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    rows = few.withColumn("k", F.row_number().over(w)).where("k <= share").select("doc_id").distinct().collect()
+    return sorted(r.doc_id for r in rows)[: s.sample_rows]
+
+
 def train(docs: DataFrame, settings: Settings | None = None) -> LanguageModel:
     """Fit on labelled rows of ``docs`` (doc_id, text, lang); all of them are training rows."""
     s = settings or Settings()
     usable = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    # ids first: a task then sends the driver a few numbers, not the texts of its own best rows
-    ids = usable.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows).collect()
-    few = docs.sparkSession.createDataFrame([(i,) for i in sorted({r.doc_id for r in ids})], "_id long")
-    sample = sorted(usable.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).drop("_id").limit(s.sample_rows).collect()) if ids else []
+    ids = sampled_ids(usable.select("doc_id", "lang"), s)
+    few = docs.sparkSession.createDataFrame([(i,) for i in ids], "_id long")
+    # rows of one id count once: a partial minimum leaves one row of each in a task
+    rows = usable.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min(F.struct("lang", "text")).alias("x"))
+    sample = sorted(rows.select("_id", "x.lang", "x.text").collect()) if ids else []
     if not sample:
         return LanguageModel([], np.zeros((1 << s.bits, 0), np.float32), np.zeros(0), s.bits)
     texts, df = document_frequencies(usable, s.bits)
@@ -227,35 +254,38 @@ def train(docs: DataFrame, settings: Settings | None = None) -> LanguageModel:
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score for each row's whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "lang_pred string, score double"])
+def predicted(spark, model: LanguageModel) -> Column:
+    """struct<lang_pred, score> of the whole ``text``; other columns stay in the JVM."""
+    sent = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @arrow_udf("struct<lang_pred:string,score:double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                labels, scores = sent.value.predict(part.column(part.num_columns - 1).to_pylist())
-                columns = [*part.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+            labels, scores = [], []
+            for part in slices(batch):
+                found = sent.value.predict(part.to_pylist())
+                labels += found[0]
+                scores += found[1]
+            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return run(F.col("text"))
 
 
 def identify(docs: DataFrame, settings: Settings | None = None, mod: int = 3, out: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from rows whose crc32(doc_id) mod ``mod`` is not ``out``."""
+    spark = bounded_batches(docs.sparkSession)
     base = docs.select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", mod) == out)
     model = train(base.where("not held_out"), settings)
-    return predict(base, model, ["doc_id", "held_out"])
+    return base.select("doc_id", "held_out", predicted(spark, model).alias("p")).select("doc_id", "held_out", "p.*")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, settings: Settings | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, all columns kept."""
-    base = docs.select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 3) == 1)
-    model = train(base.where("not held_out"), settings)
+    spark = bounded_batches(docs.sparkSession)
+    base = docs.select("doc_id", "text", "lang").where(fold("doc_id", 3) != 1)
+    model = train(base, settings)
     if not model.labels:
         return docs.limit(0)
-    found = predict(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, ["_row"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    name = free_name(docs, "_found")
+    found = docs.withColumn(name, predicted(spark, model))
+    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).drop(name)

@@ -20,12 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from gzframe.llm.common import written
+from gzframe.llm.common import bounded_batches, free_name, partitions, slices, written
 from gzframe.llm.word_hashes import word_bounds
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Slots in a run that one task makes at a time.
+SLOT_RUN = 20_000
+#: Rows of a run of documents at most, about.
+LONG_RUN = 1_000_000
 
 
 def water_fill(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
@@ -94,11 +99,14 @@ class Mix:
             slots.append(passes * per_pass + -(-rest // block))
             rows.append((rank, source, size, target, size // block, per_pass, last, slots[-1]))
         self.sources = spark.createDataFrame(rows, "rank int, source string, source_size long, target double, whole long, per_pass long, last long, n_slots long")
-        shards = max(1, min(shards, sum(slots)))
+        self.total_slots = sum(slots)
+        shards = max(1, min(shards, self.total_slots))
         counts = shard_counts(slots, shards, seed)
         first = np.cumsum(counts, axis=0) - counts
         self.shards = spark.createDataFrame([(k, s, int(first[k, s]), int(counts[k, s])) for k in range(shards) for s in range(len(slots)) if counts[k, s]], "shard int, rank int, first long, n long")
-        runs = max(1, -(-sum(r[2] for r in totals) // rows_per_run))
+        many = sum(r[2] for r in totals)
+        # short runs while they are few, then as long as a task can sort
+        runs = max(1, min(-(-many // rows_per_run), max(partitions(spark), -(-many // LONG_RUN))))
         ranked = base.join(self.sources.select("rank", "source"), base.source.eqNullSafe(self.sources.source)).select("doc_id", "rank", "size", *keep)
         self.sized = written(ranked.repartitionByRange(runs, "doc_id", "size", *keep).withColumn("run", F.spark_partition_id()), "mix-runs")
         self.seed = seed
@@ -122,7 +130,11 @@ class Mix:
     def slots(self) -> DataFrame:
         """One row per slot of the mix: shard, rank, slot, turn (pass over the source), block, take (words from the block's start), order within the shard."""
         s = self.sources.select("rank", "whole", "per_pass", "last", "n_slots")
-        x = self.shards.select("shard", "rank", F.explode(F.sequence("first", F.expr("first + n - 1"))).alias("slot")).join(s, "rank")
+        # a shard's slots of a source in runs of bounded length, dealt over tasks by their number
+        starts = F.sequence(F.col("first"), F.expr("first + n - 1"), F.lit(SLOT_RUN).cast("long"))
+        runs = self.shards.select("shard", "rank", "first", "n", F.explode(starts).alias("at"))
+        runs = runs.repartition(max(1, min(self.total_slots // SLOT_RUN + 1, 100_000)), "shard", "rank", "at")
+        x = runs.select("shard", "rank", F.explode(F.sequence("at", F.least(F.col("at") + SLOT_RUN, F.col("first") + F.col("n")) - 1)).alias("slot")).join(F.broadcast(s), "rank")
         x = x.withColumns({"turn": F.expr("slot div per_pass"), "pos": F.expr("slot % per_pass")})
         block = F.when(F.col("pos") >= F.col("whole"), F.col("whole")).otherwise(permuted(F.col("pos"), F.greatest(F.col("whole"), F.lit(1)), F.lit(self.seed), F.col("rank"), F.col("turn")))
         take = F.when((F.col("slot") == F.col("n_slots") - 1) & (F.col("last") > 0), F.col("last")).otherwise(F.lit(self.block).cast("long"))
@@ -151,32 +163,31 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     first word to its last. So the words of a source sum to its target. Texts
     without words are left out. All columns of ``docs`` are kept; those beside
     ``text`` (as n_chars) stay those of the whole document."""
+    bounded_batches(docs.sparkSession)
     block = F.lit(params.get("block", 256)).cast("long")
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    key, turns, piece = (free_name(docs, c) for c in ("_row", "_parts", "_piece"))
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
     first = F.col("block") * block + F.col("from_word") - F.col("start")
-    parts = Mix(keyed.select("doc_id", "source", "text", "_row"), keep=("_row",), **{"block": 256, **params}).filled().select("_row", "turn", "size", first.alias("first"), "words")
+    parts = Mix(keyed.select("doc_id", "source", "text", F.col(key).alias("_row")), keep=("_row",), **{"block": 256, **params}).filled().select("_row", "turn", "size", first.alias("first"), "words")
     w = Window.partitionBy("_row", "turn").orderBy("first")
     parts = parts.withColumn("new", F.coalesce(F.col("first") != F.lag(F.col("first") + F.col("words")).over(w), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
     runs = parts.groupBy("_row", "turn", "run").agg(F.min("first").alias("first"), F.sum("words").alias("words"), F.first("size").alias("size"))
     part = F.struct("turn", "first", "words", (F.col("words") == F.col("size")).alias("whole"))
-    taken = runs.groupBy("_row").agg(F.array_sort(F.collect_list(part)).alias("_parts"))
-    at, schema = docs.columns.index("text"), docs.schema
-
-    def cut(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                piece = batch.slice(i, 1000)
-                take, texts = [], []
-                for k, (text, ranges) in enumerate(zip(piece.column(at).to_pylist(), piece.column(piece.num_columns - 1).to_pylist(), strict=True)):
-                    take += [k] * len(ranges)
-                    if all(r["whole"] for r in ranges):
-                        texts += [text] * len(ranges)
-                        continue
-                    data = text.encode("utf-8", "surrogatepass")
-                    start, end = word_bounds(data)
-                    texts += [text if r["whole"] else data[start[r["first"]] : end[r["first"] + r["words"] - 1]].decode("utf-8", "surrogatepass") for r in ranges]
-                columns = [c.take(pa.array(take, pa.int64())) for c in piece.columns[:-1]]
-                columns[at] = pa.array(texts, piece.column(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return keyed.join(taken, "_row").select(*docs.columns, "_parts").mapInArrow(cut, schema)
+    taken = runs.groupBy(F.col("_row").alias(key)).agg(F.array_sort(F.collect_list(part)).alias(turns))
+
+    @arrow_udf("array<string>")
+    def cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+        out, at = [], 0
+        for some in slices(texts):
+            for text, wanted in zip(some.to_pylist(), ranges.slice(at, len(some)).to_pylist(), strict=True):
+                if all(r["whole"] for r in wanted):
+                    out.append([None] * len(wanted))  # the text itself
+                    continue
+                data = text.encode("utf-8", "surrogatepass")
+                start, end = word_bounds(data)
+                out.append([None if r["whole"] else data[start[r["first"]] : end[r["first"] + r["words"] - 1]].decode("utf-8", "surrogatepass") for r in wanted])
+            at += len(some)
+        return pa.array(out, pa.list_(pa.string()))
+
+    rows = keyed.join(taken, key).withColumn(piece, F.explode(cut(F.col("text"), F.col(turns))))
+    return rows.withColumn("text", F.coalesce(piece, "text")).drop(key, turns, piece)

@@ -37,6 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +49,13 @@ BITS = 1 << 24
 #: Partners of a pivot in one task's group.
 PARTNERS = 500
 #: Postings in a bucket, about.
-POSTINGS = 2_000_000
+POSTINGS = 1_000_000
 #: Words of 64 bits in a document's parity sketch.
 SKETCH = 4
 #: Shingles that a task holds before it reports those seen several times.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Pairs looked at together when lists are merged.
+PAIRS_AT_ONCE = 200_000
 #: Salts that a class of exact copies is spread over.
 SALTS = 64
 
@@ -207,15 +210,15 @@ def _deal(buckets: int, heavy, star: bool):
 
 
 def _pairs_of(star: bool, lists: np.ndarray, labels: np.ndarray):
-    """Yields (left, right) places of pairs in postings sorted by list and label, about a million pairs at a time.
+    """Yields (left, right) places of pairs in postings sorted by list and label, ``PAIRS_AT_ONCE`` at a time, or one posting's.
 
     A star pairs a list's first posting with each other one; else postings of one list meet if their labels differ."""
     new_list = np.concatenate([[True], lists[1:] != lists[:-1]])
     if star:
         first = np.maximum.accumulate(np.where(new_list, np.arange(len(lists)), 0))
         right = np.flatnonzero(~new_list)
-        for i in range(0, len(right), 1_000_000):
-            yield first[right[i : i + 1_000_000]], right[i : i + 1_000_000]
+        for i in range(0, len(right), PAIRS_AT_ONCE):
+            yield first[right[i : i + PAIRS_AT_ONCE]], right[i : i + PAIRS_AT_ONCE]
         return
     new_label = new_list | np.concatenate([[True], labels[1:] != labels[:-1]])
     list_end = np.append(np.flatnonzero(new_list)[1:], len(lists))[np.cumsum(new_list) - 1]
@@ -225,13 +228,24 @@ def _pairs_of(star: bool, lists: np.ndarray, labels: np.ndarray):
     ahead = np.cumsum(partners[some])
     i = 0
     while i < len(some):
-        j = max(i + 1, int(np.searchsorted(ahead, (ahead[i - 1] if i else 0) + 1_000_000, side="right")))
+        j = max(i + 1, int(np.searchsorted(ahead, (ahead[i - 1] if i else 0) + PAIRS_AT_ONCE, side="right")))
         k = partners[some[i:j]]
         left = np.repeat(some[i:j], k)
         yield left, label_end[left] + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
         i = j
 
 
+def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The bytes of a binary column's values one after another, as an array of ``kind``."""
+    parts = [np.zeros(0, kind)]
+    for chunk in column.chunks:
+        if len(chunk):
+            wide = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+            ends = np.frombuffer(chunk.buffers()[1], wide)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+    return np.concatenate(parts)
+
+
 def _merge(percent: int, extra: int, star: bool):
     """Merge a bucket's inverted lists: (a, b, na, nb, common) of the pairs to look at.
 
@@ -239,16 +253,22 @@ def _merge(percent: int, extra: int, star: bool):
     pair of these sizes: the first 1 + extra common ones of a similar pair do."""
 
     def run(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        docs, sizes, labels = join("docs", np.int64), join("sizes", np.int32).astype(np.int64), join("labels", np.int64)
-        sketches = join("sketches", np.uint64).reshape(-1, SKETCH)
-        before = np.cumsum([0, *(len(x.as_py()) // 8 for x in table["docs"])])
-        who = np.concatenate([np.frombuffer(x.as_py(), np.uint32).astype(np.int64) + at for x, at in zip(table["members"], before, strict=False)])
-        lists, place = join("lists", np.uint64), join("places", np.uint32).astype(np.int64)
+        docs, sizes, labels = joined(table["docs"], np.int64), joined(table["sizes"], np.int32).astype(np.int64), joined(table["labels"], np.int64)
+        sketches = joined(table["sketches"], np.uint64).reshape(-1, SKETCH)
+        # postings name their document by its place in their row
+        rows = pc.binary_length(table["docs"]).to_numpy() // 8
+        postings = pc.binary_length(table["members"]).to_numpy() // 4
+        who = joined(table["members"], np.uint32).astype(np.int32)
+        who += np.repeat((np.cumsum(rows) - rows).astype(np.int32), postings)
+        lists, place = joined(table["lists"], np.uint64), joined(table["places"], np.uint32)
+        del table
         # members of a list by label, then number; the stable sort by list merges the ascending runs
-        order = np.lexsort((docs[who], labels[who]))
+        rank = np.empty(len(docs), np.int32)
+        rank[np.lexsort((docs, labels))] = np.arange(len(docs))
+        order = np.argsort(rank[who], kind="stable")
         order = order[np.argsort(lists[order], kind="stable")]
-        lists, who, place = lists[order], who[order], place[order]
+        lists, who, place = lists[order], who[order], place[order].astype(np.int32)
+        del order, rank
         keys, counts = [], []
         for left, right in _pairs_of(star, lists, labels[who]):
             a, b = who[left], who[right]
@@ -258,7 +278,7 @@ def _merge(percent: int, extra: int, star: bool):
             a, b, room = a[fits], b[fits], (both - 2 * need)[fits]
             close = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64) <= room
             a, b = a[close], b[close]
-            key, common = np.unique(np.minimum(a, b) * len(docs) + np.maximum(a, b), return_counts=True)
+            key, common = np.unique(np.minimum(a, b).astype(np.int64) * len(docs) + np.maximum(a, b), return_counts=True)
             keys.append(key)
             counts.append(common)
         key, back = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -82,3 +83,34 @@ def test_null_ids_are_mixed(spark):
     for r in mix.sources.collect():
         assert abs(sum(size(x.text) for x in got if x.source == r.source) - r.target) <= 1
     assert sum(size(r.text) for r in got if r.doc_id is None) == mix.documents().where("doc_id is null").groupBy().sum("taken").first()[0] > 0
+
+
+def test_taken_words_equal_laying_out_the_blocks(spark):
+    rng = random.Random(10)
+    docs = [(i, " ".join("w" for _ in range(rng.randrange(60))) if i % 11 else None, rng.choice(["a", "b", None])) for i in range(90)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    mix = Mix(frame, block=16)
+    rank = {r.source: r["rank"] for r in mix.sources.collect()}
+    slots = mix.slots().collect()
+    assert len({(r["rank"], r.slot) for r in slots}) == len(slots) == mix.total_slots
+    taken = {d: 0 for d, _, _ in docs}
+    for source, k in rank.items():
+        # the words of a source one after another, each with its document
+        line = [d for d, t, s in sorted(docs) if s == source for _ in range(size(t))]
+        for r in (r for r in slots if r["rank"] == k):
+            for d in line[r.block * 16 : r.block * 16 + 16][: r["take"]]:
+                taken[d] += 1
+    assert {r.doc_id: r.taken for r in mix.documents().collect()} == taken
+
+
+def test_clashing_names_are_kept(spark):
+    frame = spark.createDataFrame([(i, "a b c " * 9, "s", i, i) for i in range(20)], "doc_id long, text string, source string, _row long, _parts long")
+    got = mix_documents(frame, block=8)
+    assert got.columns == frame.columns and all(r._row == r._parts == r.doc_id for r in got.collect())
+
+
+def test_slots_come_in_runs(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(), DOCS)
+    whole = sorted(map(tuple, Mix(docs, block=8).slots().collect()))
+    monkeypatch.setattr("gzframe.llm.mixing.SLOT_RUN", 7)
+    assert sorted(map(tuple, Mix(docs, block=8).slots().collect())) == whole

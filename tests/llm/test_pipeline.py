@@ -53,8 +53,8 @@ def test_every_stage_takes_effect(spark, tmp_path):
     # the last stage against encoding each text by itself
     got = sorted(map(tuple, P.STAGES[-1][1](spark, now, d).collect()), key=lambda r: r[1])
     want, start = [], 0
-    for doc_id, text in sorted((r.doc_id, r.text) for r in now.collect()):
-        t = [*whole(text), 1]
+    # rows of one doc_id follow their ids as bytes
+    for doc_id, _, t in sorted((r.doc_id, np.array(t, "<u2").tobytes(), t) for r in now.collect() for t in [[*whole(r.text), 1]]):
         want.append((doc_id, start, len(t), zlib.crc32(np.array(t, "<u4").tobytes())))
         start += len(t)
     assert got == want and PATH and langid and item
