@@ -38,14 +38,19 @@ class Lines:
 def even_chunks(source, size: int, limit: int | None = None, report: kernel.Report | None = None):
     """(offset, bytes) of exactly ``size`` bytes each, the last one shorter."""
     kernel.check_chunk_size(size)
-    held, at = b"", 0
+    held, at = bytearray(), 0
     for part in kernel.scan(source, report or kernel.Report(), limit=limit, chunk_size=size, collect=False):
+        if not held and len(part) == size:
+            yield at, part
+            at += size
+            continue
         held += part
-        while len(held) >= size:
-            yield at, held[:size]
-            at, held = at + size, held[size:]
+        if len(held) >= size:  # a part is no longer than a chunk
+            yield at, bytes(held[:size])
+            at += size
+            del held[:size]
     if held:
-        yield at, held
+        yield at, bytes(held)
 
 
 def register_tables(spark) -> None:

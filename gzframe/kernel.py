@@ -6,6 +6,7 @@ Everything that validates or produces gzip data goes through ``scan`` and
 from __future__ import annotations
 
 import os
+import re
 import struct
 import time
 import zlib
@@ -21,6 +22,8 @@ OS_UNKNOWN = 255
 MAX_HEADER = MAX_CHUNK = 128 * 2**20
 CHUNK = 256 * 2**10
 LEVEL = 6
+#: Bytes given to the decoder at a time.
+LEAST_FEED, MOST_FEED = 2**10, 2**16
 UINT32 = 2**32 - 1
 
 
@@ -123,75 +126,112 @@ def header_filename(explicit: str | bytes | None, path: str | bytes | None = Non
 
 
 class _Source:
-    """Input held as one buffer of unread bytes, with the absolute offset of its first byte."""
+    """Unread input: one chunk and a place in it. Nothing is joined or cut that need not be, so feeds of any size cost their length."""
 
     def __init__(self, chunks: Iterable[bytes], report: Report):
         self.chunks, self.report = iter(chunks), report
-        self.data, self.offset, self.ended = b"", 0, False
+        self.data, self.at, self.before = b"", 0, 0
+
+    @property
+    def offset(self) -> int:
+        return self.before + self.at
 
     def more(self) -> bool:
+        """Take the next chunk that holds anything; the one before it has been read."""
         for chunk in self.chunks:
             if chunk:
-                self.data = self.data + chunk if self.data else bytes(chunk)
+                self.before += len(self.data)
+                self.data, self.at = bytes(chunk), 0
                 self.report.compressed_size += len(chunk)
                 return True
-        self.ended = True
         return False
 
-    def drop(self, n: int) -> None:
-        self.data = self.data[n:]
-        self.offset += n
-
-    def need(self, n: int, what: str) -> None:
-        while len(self.data) < n:
-            if not self.more():
+    def take(self, n: int, what: str) -> bytes:
+        """The next ``n`` bytes."""
+        end = self.at + n
+        if end <= len(self.data):
+            found, self.at = self.data[self.at : end], end
+            return found
+        parts = []
+        while n:
+            if self.at == len(self.data) and not self.more():
                 raise BadGzip(f"stream ended in {what}")
+            parts.append(self.data[self.at : self.at + n])
+            self.at += len(parts[-1])
+            n -= len(parts[-1])
+        return b"".join(parts)
+
+    def take_text(self, room: int, what: str) -> bytes:
+        """The bytes up to the next zero byte, which is taken too; at most ``room`` of both."""
+        parts, size = [], 0
+        while True:
+            if self.at == len(self.data) and not self.more():
+                raise BadGzip(f"stream ended in {what}")
+            end = self.data.find(b"\0", self.at, self.at + room - size)
+            last = end >= 0
+            parts.append(self.data[self.at : end if last else self.at + room - size])
+            size += len(parts[-1])
+            self.at += len(parts[-1]) + last
+            if last:
+                return b"".join(parts)
+            if size >= room:
+                raise BadGzip("gzip header is too long")
+
+    def at_member(self, padded: bool) -> bool:
+        """Whether another member follows; zero bytes may stand between and after members, not before the first."""
+        while True:
+            if self.at < len(self.data):
+                if not padded or self.data[self.at]:
+                    return True
+                found = _NOT_ZERO.search(self.data, self.at)
+                self.at = found.start() if found else len(self.data)
+                if found:
+                    return True
+            if not self.more():
+                return False
 
 
-def _text_end(source: _Source, start: int, what: str) -> int:
-    seen = start
-    while (at := source.data.find(b"\0", seen)) < 0:
-        seen = len(source.data)
-        if seen > MAX_HEADER:
-            raise BadGzip("gzip header is too long")
-        source.need(seen + 1, what)
-    return at
+_NOT_ZERO = re.compile(rb"[^\0]")
+#: How a header without optional fields begins.
+_PLAIN = MAGIC + bytes([DEFLATE, 0])
 
 
-def _header(source: _Source) -> tuple[int, int, int, str | None, str | None, bytes | None]:
-    """Parse the header at the source's position: size, flags, mtime, filename, comment, extra."""
-    source.need(2, "a member header")
-    if source.data[:2] != MAGIC:
+def _header(source: _Source) -> tuple[int, int, str | None, str | None, bytes | None]:
+    """Parse the header at the source's position: flags, mtime, filename, comment, extra."""
+    if source.data.startswith(_PLAIN, source.at) and source.at + 10 <= len(source.data):
+        at, source.at = source.at, source.at + 10
+        return 0, int.from_bytes(source.data[at + 4 : at + 8], "little"), None, None, None
+    fixed = source.take(2, "a member header")
+    if fixed != MAGIC:
         raise BadGzip("not a gzip member")
-    source.need(3, "a member header")
-    if source.data[2] != DEFLATE:
-        raise BadGzip(f"unknown compression method {source.data[2]}")
-    source.need(4, "a member header")
-    flags = source.data[3]
+    fixed += source.take(1, "a member header")
+    if fixed[2] != DEFLATE:
+        raise BadGzip(f"unknown compression method {fixed[2]}")
+    fixed += source.take(1, "a member header")
+    flags = fixed[3]
     if flags & RESERVED:
         raise BadGzip(f"reserved header flags are set: {flags:#04x}")
-    source.need(10, "a member header")
-    (mtime,) = struct.unpack_from("<I", source.data, 4)
-    at, extra, texts = 10, None, {FNAME: None, FCOMMENT: None}
+    fixed += source.take(6, "a member header")
+    mtime = int.from_bytes(fixed[4:8], "little")
+    if not flags:
+        return flags, mtime, None, None, None
+    size, crc, extra, texts = len(fixed), zlib.crc32(fixed), None, {FNAME: None, FCOMMENT: None}
     if flags & FEXTRA:
-        source.need(at + 2, "the extra field")
-        (n,) = struct.unpack_from("<H", source.data, at)
-        source.need(at + 2 + n, "the extra field")
-        extra = source.data[at + 2 : at + 2 + n]
-        at += 2 + n
+        length = source.take(2, "the extra field")
+        extra = source.take(int.from_bytes(length, "little"), "the extra field")
+        size, crc = size + 2 + len(extra), zlib.crc32(extra, zlib.crc32(length, crc))
     for flag in texts:
         if flags & flag:
-            end = _text_end(source, at, "a header text")
-            texts[flag] = source.data[at:end].decode("latin-1")
-            at = end + 1
+            raw = source.take_text(MAX_HEADER - size, "a header text")
+            size, crc = size + len(raw) + 1, zlib.crc32(b"\0", zlib.crc32(raw, crc))
+            texts[flag] = raw.decode("latin-1")
     if flags & FHCRC:
-        source.need(at + 2, "the header checksum")
-        if struct.unpack_from("<H", source.data, at)[0] != zlib.crc32(source.data[:at]) & 0xFFFF:
+        if int.from_bytes(source.take(2, "the header checksum"), "little") != crc & 0xFFFF:
             raise BadGzip("header checksum does not match")
-        at += 2
-    if at > MAX_HEADER:
+        size += 2
+    if size > MAX_HEADER:
         raise BadGzip("gzip header is too long")
-    return at, flags, mtime, texts[FNAME], texts[FCOMMENT], extra
+    return flags, mtime, texts[FNAME], texts[FCOMMENT], extra
 
 
 def scan(chunks: Iterable[bytes], report: Report, *, limit: int | None = None, chunk_size: int = CHUNK, collect: bool = True) -> Iterator[bytes]:
@@ -204,57 +244,43 @@ def scan(chunks: Iterable[bytes], report: Report, *, limit: int | None = None, c
     check_positive(limit, "max_decompressed_size")
     check_chunk_size(chunk_size)
     source = _Source(chunks, report)
-    while True:
-        if report.member_count:
-            # zero bytes may stand between and after members, not before the first
-            while True:
-                kept = source.data.lstrip(b"\0")
-                source.drop(len(source.data) - len(kept))
-                if kept or not source.more():
-                    break
-        elif not source.data:
-            source.more()
-        if not source.data:
-            report.finished = True
-            return
+    while source.at_member(report.member_count > 0):
         start = source.offset
-        size, flags, mtime, name, comment, extra = _header(source)
+        flags, mtime, name, comment, extra = _header(source)
         report.mtime = mtime
-        source.drop(size)
-        inflate, crc, total = zlib.decompressobj(-zlib.MAX_WBITS), 0, 0
+        inflate, crc, total, feed = zlib.decompressobj(-zlib.MAX_WBITS), 0, 0, LEAST_FEED
         while not inflate.eof:
-            if not source.data and not source.more():
+            if source.at == len(source.data) and not source.more():
                 raise BadGzip("stream ended in member data")
             room = chunk_size if limit is None else min(chunk_size, limit - report.uncompressed_size + 1)
-            before = source.data
+            # what the decoder leaves of a feed is copied, so feeds are small at first and no larger than their output
+            piece = source.data[source.at : source.at + max(LEAST_FEED, min(feed, room))]
+            feed = min(4 * feed, MOST_FEED)
             try:
-                out = inflate.decompress(before, room)
+                out = inflate.decompress(piece, room)
             except zlib.error as e:
                 raise BadGzip(f"member data is corrupt: {e}") from None
-            rest = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
-            source.drop(len(before) - len(rest))
+            source.at += len(piece) - len(inflate.unused_data if inflate.eof else inflate.unconsumed_tail)
+            if not out:
+                continue
             if limit is not None and report.uncompressed_size + len(out) > limit:
                 out = out[: limit - report.uncompressed_size]
                 report.uncompressed_size += len(out)
                 if out:
                     yield out
                 raise LimitExceeded(f"decompressed output exceeded {limit} bytes")
-            if not out and not inflate.eof and not source.data:
-                continue
             crc, total = zlib.crc32(out, crc), total + len(out)
             report.uncompressed_size += len(out)
-            if out:
-                yield out
-        source.need(8, "a member trailer")
-        want, isize = struct.unpack_from("<II", source.data)
+            yield out
+        want, isize = struct.unpack("<II", source.take(8, "a member trailer"))
         if want != crc:
             raise BadGzip(f"CRC-32 does not match: stored {want:#010x}, computed {crc:#010x}")
         if isize != total & UINT32:
             raise BadGzip("stored size does not match")
-        source.drop(8)
         if collect:
             report.members.append(Member(report.member_count, start, source.offset - start, total, mtime, name, comment, extra, flags, crc, isize))
         report.member_count += 1
+    report.finished = True
 
 
 def pieces(data: bytes | memoryview, n: int = CHUNK) -> Iterator[bytes]:
@@ -286,19 +312,41 @@ def encode(chunks: Iterable[bytes], *, level: int = LEVEL, mtime: float | None =
     return _encode(chunks, level, seconds, name, strict_size, flush_every)
 
 
-def _encode(chunks, level, seconds, name, strict_size, flush_every):
-    yield member_header(name, seconds, level)
-    deflate, crc, total = zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS), 0, 0
-    for k, chunk in enumerate(chunks, 1):
-        if strict_size and total + len(chunk) > UINT32:
+class MemberEncoder:
+    """One member as it grows: ``begin()``, ``feed(data)`` for each piece, ``finish()``; its sizes and checksum so far."""
+
+    def __init__(self, level: int = LEVEL, mtime: int | None = None, filename: bytes = b"", strict_size: bool = False, flush_every: int | None = None):
+        self.level, self.mtime, self.filename, self.strict_size, self.flush_every = level, mtime, filename, strict_size, flush_every
+        self.crc32 = self.uncompressed_size = self.compressed_size = self.fed = 0
+        self._deflate = zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS)
+
+    def _out(self, data: bytes) -> bytes:
+        self.compressed_size += len(data)
+        return data
+
+    def begin(self) -> bytes:
+        return self._out(member_header(self.filename, self.mtime, self.level))
+
+    def feed(self, data: bytes) -> bytes:
+        if self.strict_size and self.uncompressed_size + len(data) > UINT32:
             raise SizeOverflow("member input is larger than its size field can hold")
-        crc, total = zlib.crc32(chunk, crc), total + len(chunk)
-        out = deflate.compress(chunk)
-        if flush_every and k % flush_every == 0:
-            out += deflate.flush(zlib.Z_SYNC_FLUSH)
-        if out:
+        self.crc32, self.uncompressed_size, self.fed = zlib.crc32(data, self.crc32), self.uncompressed_size + len(data), self.fed + 1
+        out = self._deflate.compress(data)
+        if self.flush_every and self.fed % self.flush_every == 0:
+            out += self._deflate.flush(zlib.Z_SYNC_FLUSH)
+        return self._out(out)
+
+    def finish(self) -> bytes:
+        return self._out(self._deflate.flush() + struct.pack("<II", self.crc32, self.uncompressed_size & UINT32))
+
+
+def _encode(chunks, level, seconds, name, strict_size, flush_every):
+    member = MemberEncoder(level, seconds, name, strict_size, flush_every)
+    yield member.begin()
+    for chunk in chunks:
+        if out := member.feed(chunk):
             yield out
-    yield deflate.flush() + struct.pack("<II", crc, total & UINT32)
+    yield member.finish()
 
 
 def compress(data: bytes, **options) -> bytes:

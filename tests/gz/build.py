@@ -1,21 +1,26 @@
-"""Gzip members built with the standard library's zlib and struct, field by field."""
+"""Gzip members put together from the format's description."""
 
-import struct
 import zlib
 
 
-def member(payload=b"", *, mtime=0, filename=None, comment=None, extra=None, header_crc=False, level=6):
-    flags = (2 if header_crc else 0) | (4 if extra is not None else 0) | (8 if filename is not None else 0) | (16 if comment is not None else 0)
-    head = b"\x1f\x8b\x08" + bytes([flags]) + struct.pack("<I", mtime) + b"\x00\xff"
-    if extra is not None:
-        head += struct.pack("<H", len(extra)) + extra
-    for text in (filename, comment):
-        if text is not None:
-            head += text.encode("latin-1") + b"\0"
-    if header_crc:
-        head += struct.pack("<H", zlib.crc32(head) & 0xFFFF)
-    z = zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS)
-    return head + z.compress(payload) + z.flush() + struct.pack("<II", zlib.crc32(payload), len(payload) & 0xFFFFFFFF)
+def _text(value):
+    return value.encode("latin-1") + b"\0"
+
+
+#: Optional header fields in the order in which they follow each other: the bit of the flags that announces each, and its bytes.
+OPTIONAL = {"extra": (2, lambda value: len(value).to_bytes(2, "little") + value), "filename": (3, _text), "comment": (4, _text)}
+
+
+def member(payload=b"", level=6, mtime=0, **fields):
+    """One member; ``fields``: extra, filename, comment, and header_crc (true or false)."""
+    present = [(bit, to_bytes(fields[name])) for name, (bit, to_bytes) in OPTIONAL.items() if fields.get(name) is not None]
+    checked = bool(fields.get("header_crc"))
+    flags = sum(1 << bit for bit, _ in present) + 2 * checked
+    header = b"".join([bytes([31, 139, 8, flags]), mtime.to_bytes(4, "little"), bytes([0, 255]), *(data for _, data in present)])
+    if checked:
+        header += (zlib.crc32(header) % 65536).to_bytes(2, "little")
+    trailer = zlib.crc32(payload).to_bytes(4, "little") + (len(payload) % 2**32).to_bytes(4, "little")
+    return header + zlib.compress(payload, level, wbits=-15) + trailer
 
 
 GOOD = member(b"hello world\n" * 100, filename="data.bin")

@@ -1,6 +1,8 @@
 import ast
 import gzip
+import random
 import struct
+import time
 import zlib
 
 import pytest
@@ -132,3 +134,42 @@ def test_strict_size(monkeypatch):
 def test_kernel_imports_neither_spark_nor_io():
     names = {a.name for n in ast.walk(ast.parse(open(kernel.__file__).read())) if isinstance(n, ast.Import) for a in n.names}
     assert not names & {"pyspark", "pyarrow", "io", "gzip"}
+
+
+def seconds(f):
+    best = float("inf")
+    for _ in range(3):
+        began = time.perf_counter()
+        f()
+        best = min(best, time.perf_counter() - began)
+    return best
+
+
+@pytest.mark.parametrize("feed", [2**16, 2**30])
+def test_time_follows_the_input(feed):
+    # four times the input takes about four times as long; sixteen times would be its square
+    noise = random.Random(1).randbytes(2**24)
+    inputs = [(member(b"x", filename="n" * n), member(b"x", filename="n" * 4 * n)) for n in [2**22]]
+    inputs += [(member(noise[: 2**22]), member(noise)), (member(b"\0" * 2**22), member(b"\0" * 2**24)), (member(b"hello") * 1000, member(b"hello") * 4000), (member(b"a") + b"\0" * 2**22 + member(b"b"), member(b"a") + b"\0" * 2**24 + member(b"b"))]
+    for small, large in inputs:
+        assert seconds(lambda: decode(large, feed)) < 9 * seconds(lambda: decode(small, feed)) + 0.02  # noqa: B023
+
+
+def test_long_header_text_is_refused_as_it_comes():
+    read = []
+
+    def feeds():
+        yield member(b"x", filename="n")[:10]
+        while True:
+            read.append(1)
+            yield b"n" * 2**20
+
+    with pytest.raises(kernel.BadGzip, match="too long"):
+        list(kernel.scan(feeds(), kernel.Report()))
+    assert len(read) <= kernel.MAX_HEADER // 2**20 + 1
+
+
+def test_encoder_reports_sizes_and_checksum():
+    e = kernel.MemberEncoder(mtime=0)
+    data = e.begin() + e.feed(b"abc") + e.feed(b"de") + e.finish()
+    assert gzip.decompress(data) == b"abcde" and (e.uncompressed_size, e.compressed_size, e.crc32) == (5, len(data), zlib.crc32(b"abcde"))
