@@ -304,13 +304,18 @@ def split_binary_lines(payload: Column | str) -> Column:
 
 
 def limited_lines(text: Column | str, limit: int, newline: str | None = None) -> Column:
-    """What repeated ``readline(limit)`` calls return: lines cut into pieces of at most ``limit`` characters."""
+    """What repeated ``readline(limit)`` calls return: each reads on from where the last one stopped, even between CR and LF."""
     if limit < 0:
         return split_lines(text, newline)
     if limit == 0:
+        check_newline(newline)
         return F.array().cast("array<string>")
-    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / limit)), lambda i: F.substring(x, (i * limit + 1).cast("int"), F.lit(limit)))
-    return F.flatten(F.transform(split_lines(text, newline), cut))
+    plain = f"[^\\n]{{0,{limit - 1}}}\\n"
+    pair = rf"(?:(?!\r\n).){{0,{limit - 2}}}\r\n" if limit > 1 else None
+    # a line end within the limit, else as many characters as the limit allows
+    ends = {None: [plain], "\n": [plain], "\r": [rf"[^\r]{{0,{limit - 1}}}\r"], "\r\n": [pair], "": [rf"[^\r\n]{{0,{limit - 2}}}\r\n" if limit > 1 else None, rf"[^\r\n]{{0,{limit - 1}}}[\r\n]"]}[check_newline(newline)]
+    pattern = "|".join([*(e for e in ends if e), f".{{1,{limit}}}"])
+    return F.regexp_extract_all(translate_on_read(text, newline), F.lit(f"(?s){pattern}"), 0)
 
 
 def newline_kinds(text: Column | str) -> Column:
