@@ -150,10 +150,9 @@ def decode_chunks(df: DataFrame, by: Sequence[str], order: str, data: str, *, si
 
 
 def concat_members(df: DataFrame, by: Sequence[str], order: str, content: str = "content") -> DataFrame:
-    """Join members into one stream per group, in order: an ordered UNION ALL of payloads."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(content).alias("c"))))
-    empty = F.lit(b"").cast("binary")
-    return df.groupBy(*by).agg(F.aggregate(parts, empty, lambda a, x: F.concat(a, x.c)).alias("content"))
+    """Join members into one stream per group, in order: an ordered UNION ALL of payloads. A stream is a value, so it has less than 2 GB."""
+    name = lambda c: f"`{c.replace('`', '``')}`"
+    return df.groupBy(*by).agg(F.expr(f"coalesce(listagg({name(content)}) WITHIN GROUP (ORDER BY {name(order)}), X'')").alias("content"))
 
 
 def against_manifest(streams_df: DataFrame, manifest: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:

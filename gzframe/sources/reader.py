@@ -7,11 +7,13 @@ by the ``gzstream`` source in bounded pieces, member-parallel on request."""
 from __future__ import annotations
 
 import glob
+import json
 import os
 import re
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -20,6 +22,7 @@ from gzframe import kernel
 from gzframe.functions import columns as C
 from gzframe.functions.table import even_chunks
 from gzframe.operators import relations as R
+from gzframe.sources.shared import local_path
 
 
 def parse_mode(mode: str) -> tuple[str, bool, bool]:
@@ -133,20 +136,13 @@ def write(df: DataFrame, filename: str, mode: str = "wb", **options) -> None:
         options["exclusive"] = "true"
     if operation == "w":
         options["truncate"] = "true"
+    register_source(df.sparkSession)
     writer.options(**{k: str(v) for k, v in options.items() if v is not None}).save(filename)
 
 
 # --- the data source ----------------------------------------------------------
 
 
-def _plain(path: str) -> str:
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    if "://" in path:
-        raise ValueError("gzstream reads mounted paths; use GzReader for other file systems")
-    return path
-
-
 def _file_pieces(path: str, start: int = 0, size: int | None = None, piece: int = kernel.CHUNK) -> Iterator[bytes]:
     with open(path, "rb") as f:
         f.seek(start)
@@ -159,55 +155,91 @@ def _file_pieces(path: str, start: int = 0, size: int | None = None, piece: int
             yield data
 
 
+def _files(path: str) -> list[str]:
+    """The visible files of a file, folder or glob."""
+    found = sorted(glob.glob(path)) or [path]
+    return [f for p in found for f in ([os.path.join(d, x) for d, _, names in os.walk(p) for x in sorted(names) if not x.startswith((".", "_"))] if os.path.isdir(p) else [p])]
+
+
+def _members(path: str) -> Iterator[kernel.Member]:
+    """Members of a file as they are validated; none is kept."""
+    report = kernel.Report()
+    for _ in kernel.scan(_file_pieces(path), report):
+        yield from report.members
+        report.members.clear()
+    yield from report.members
+
+
 class MemberRange(InputPartition):
     def __init__(self, path: str, index: int | None, start: int, size: int | None, at: int):
         self.path, self.index, self.start, self.size, self.at = path, index, start, size, at
 
 
+RANGE = "path string, index int, compressed_offset bigint, compressed_size bigint, uncompressed_offset bigint, uncompressed_size bigint"
+CHUNK_ROW = "path string, member int, seq int, byte_offset bigint, data binary"
+
+
 class GzReaderSource(DataSourceReader):
     def __init__(self, options: dict):
-        path = _plain(options.get("path", ""))
         self.chunk = int(options.get("chunk_size", kernel.CHUNK))
         self.limit = int(options["max_decompressed_size"]) if "max_decompressed_size" in options else None
+        self.members = options.get("relation", "chunks") == "members"
         self.by_member = options.get("split", "file") == "member"
         self.ranges = options.get("ranges")
-        found = sorted(glob.glob(path)) or [path]
-        self.files = [f for p in found for f in ([os.path.join(d, x) for d, _, names in os.walk(p) for x in sorted(names) if not x.startswith((".", "_"))] if os.path.isdir(p) else [p])]
+        self.files = _files(local_path(options.get("path", "")))
         kernel.check_chunk_size(self.chunk)
 
     def partitions(self):
-        """A partition per file, or per member from a first pass over headers and trailers."""
-        if not self.by_member:
+        """A partition per file, or per member: from the JSON lines of ``ranges``, else from a first pass here (``member_chunks`` makes it a job)."""
+        if self.members or not self.by_member:
             return [MemberRange(f, None, 0, None, 0) for f in self.files]
+        if self.ranges:
+            known = [json.loads(line) for f in _files(local_path(self.ranges)) for line in open(f, encoding="utf-8") if line.strip()]
+            return [MemberRange(local_path(r["path"]), r["index"], r["compressed_offset"], r["compressed_size"], r["uncompressed_offset"]) for r in known]
         out = []
         for f in self.files:
-            at, report = 0, kernel.Report()
-            for _ in kernel.scan(_file_pieces(f), report):
-                pass
-            for m in report.members:
+            at = 0
+            for m in _members(f):
                 out.append(MemberRange(f, m.index, m.compressed_offset, m.compressed_size, at))
                 at += m.uncompressed_size
         return out
 
     def read(self, partition: MemberRange):
+        if self.members:
+            at = 0
+            for m in _members(partition.path):
+                yield partition.path, m.index, m.compressed_offset, m.compressed_size, at, m.uncompressed_size
+                at += m.uncompressed_size
+            return
         source = _file_pieces(partition.path, partition.start, partition.size)
         for n, (at, data) in enumerate(even_chunks(source, self.chunk, self.limit)):
             yield partition.path, partition.index, n, partition.at + at, data
 
 
 class FileWritten(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
+    """For each file: temporary name, final name, sizes and checksum of the member."""
+
+    def __init__(self, files: list[tuple[str, str, int, int, int]]):
         self.files = files
 
 
+#: What the last commit wrote, as JSON; readers pass over names that begin so.
+COMMIT_FILE = "_gzframe_commit.json"
+
+
 class GzWriterSource(DataSourceArrowWriter):
     """Rows (name, data) to members of ``<name>.gz``; files appear when the job commits.
 
-    Rows of one name in a task make one member. A name that several tasks
-    write, or that exists already, gets its members appended."""
+    Rows of one name in a task make one member, which is encoded as they
+    arrive. A name that several tasks write, or that exists already, gets its
+    members appended. Every file is replaced by one rename, and what a commit
+    does is written down first: a commit that is run again after a crash
+    leaves the same files. Mode ``overwrite`` removes other ``.gz`` files of
+    the folder, after the new ones are there, and nothing else. The commit
+    leaves sizes and checksums in ``COMMIT_FILE``."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.folder = _plain(options["path"])
+        self.folder = local_path(options["path"])
         self.overwrite = overwrite or options.get("truncate") == "true"
         self.exclusive = options.get("exclusive") == "true"
         self.level = kernel.check_level(int(options.get("compresslevel", kernel.LEVEL)))
@@ -221,61 +253,97 @@ class GzWriterSource(DataSourceArrowWriter):
 
     def write(self, iterator):
         os.makedirs(self.folder, exist_ok=True)
-        parts: dict[str, list[bytes]] = {}
+        open_: dict[str, tuple[kernel.MemberEncoder, str]] = {}
         for batch in iterator:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(self._safe(name), []).append(data or b"")
+                name = self._safe(name)
+                if name not in open_:
+                    member = kernel.MemberEncoder(self.level, self.mtime, kernel.header_filename(self.name, f"{self.folder}/{name}.gz"), self.strict, self.flush)
+                    open_[name] = member, os.path.join(self.folder, f".{self.run}-{uuid.uuid4().hex}")
+                    self._put(open_[name][1], member.begin())
+                member, tmp = open_[name]
+                self._put(tmp, member.feed(data or b""))
         files = []
-        for name, rows in parts.items():
-            tmp = os.path.join(self.folder, f".{self.run}-{uuid.uuid4().hex}")
-            target = os.path.join(self.folder, name + ".gz")
-            with open(tmp, "wb") as f:
-                for out in kernel.encode(rows, level=self.level, mtime=self.mtime, original_filename=self.name, path=target, strict_size=self.strict, flush_every=self.flush):
-                    f.write(out)
-            files.append((tmp, target))
+        for name, (member, tmp) in open_.items():
+            self._put(tmp, member.finish())
+            files.append((tmp, os.path.join(self.folder, name + ".gz"), member.uncompressed_size, member.compressed_size, member.crc32))
         return FileWritten(files)
 
+    @staticmethod
+    def _put(path: str, data: bytes) -> None:
+        if data:
+            with open(path, "ab") as f:
+                f.write(data)
+
     @staticmethod
     def _safe(name: str | None) -> str:
-        if not name or "/" in name or name.startswith("."):
+        if not name or "/" in name or name.startswith((".", "_")):
             raise ValueError(f"not a file name: {name!r}")
         return re.sub(r"\.gz$", "", name)
 
     def commit(self, messages):
-        done = [f for m in messages if m for f in m.files]
-        fresh = set()
-        if self.overwrite and os.path.isdir(self.folder):
+        parts: dict[str, list[tuple]] = {}
+        for f in sorted((f for m in messages if m for f in m.files), key=lambda f: f[1]):
+            parts.setdefault(f[1], []).append(f)
+        os.makedirs(self.folder, exist_ok=True)
+        journal = os.path.join(self.folder, f".{self.run}-journal")
+        if os.path.exists(journal):
+            with open(journal) as f:
+                before = json.load(f)
+        else:
+            if self.exclusive and (there := [t for t in parts if os.path.exists(t)]):
+                raise FileExistsError(there[0])
+            before = {t: 0 if self.overwrite or not os.path.exists(t) else os.path.getsize(t) for t in parts}
+            with open(journal + "-", "w") as f:
+                json.dump(before, f)
+            os.replace(journal + "-", journal)
+        for target, own in parts.items():
+            self._join(target, before[target], [f[0] for f in own])
+        if self.overwrite:
             for x in os.listdir(self.folder):
-                if not x.startswith("."):
+                if x.endswith(".gz") and not x.startswith((".", "_")) and os.path.join(self.folder, x) not in parts:
                     os.remove(os.path.join(self.folder, x))
-        for tmp, target in sorted(done, key=lambda f: f[1]):
-            if self.exclusive and target not in fresh and os.path.exists(target):
-                raise FileExistsError(target)
-            if os.path.exists(target):
-                with open(target, "ab") as f:
-                    for data in _file_pieces(tmp):
-                        f.write(data)
-                os.remove(tmp)
-            else:
-                os.replace(tmp, target)
-            fresh.add(target)
+        report = [{"file": os.path.basename(t), "uncompressed_size": f[2], "compressed_size": f[3], "crc32": f[4]} for t, own in parts.items() for f in own]
+        with open(journal + "-", "w") as f:
+            json.dump(report, f)
+        os.replace(journal + "-", os.path.join(self.folder, COMMIT_FILE))
+        for f in (f for own in parts.values() for f in own):
+            if os.path.exists(f[0]):
+                os.remove(f[0])
+        os.remove(journal)
+
+    def _join(self, target: str, before: int, tmps: list[str]) -> None:
+        """Make ``target`` its first ``before`` bytes and then the temporary files; doing it again changes nothing."""
+        if len(tmps) == 1 and not before:
+            if os.path.exists(tmps[0]):
+                os.replace(tmps[0], target)
+            return
+        whole = os.path.join(self.folder, f".{self.run}-whole")
+        with open(whole, "wb") as f:
+            if before:
+                for data in _file_pieces(target, 0, before):
+                    f.write(data)
+            for tmp in tmps:
+                for data in _file_pieces(tmp):
+                    f.write(data)
+        os.replace(whole, target)
 
     def abort(self, messages):
         for m in messages:
-            for tmp, _ in m.files if m else []:
-                if os.path.exists(tmp):
-                    os.remove(tmp)
+            for f in m.files if m else []:
+                if os.path.exists(f[0]):
+                    os.remove(f[0])
 
 
 class GzStreamSource(DataSource):
-    """``spark.read.format("gzstream")``: path, member, seq, byte_offset, data. ``write``: columns name, data."""
+    """``spark.read.format("gzstream")``: path, member, seq, byte_offset, data; ``relation=members``: ``RANGE``. ``write``: columns name, data."""
 
     @classmethod
     def name(cls):
         return "gzstream"
 
     def schema(self):
-        return "path string, member int, seq int, byte_offset bigint, data binary"
+        return RANGE if self.options.get("relation") == "members" else CHUNK_ROW
 
     def reader(self, schema):
         return GzReaderSource(dict(self.options))
@@ -288,6 +356,26 @@ def register_source(spark: SparkSession) -> None:
     spark.dataSource.register(GzStreamSource)
 
 
+def member_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """``RANGE`` of every member of mounted files: a task per file validates it in bounded memory. Its JSON lines serve as ``ranges``."""
+    register_source(spark)
+    return spark.read.format("gzstream").option("relation", "members").load(path)
+
+
+def member_chunks(spark: SparkSession, path: str, size: int = kernel.CHUNK, ranges: DataFrame | None = None) -> DataFrame:
+    """``CHUNK_ROW`` of mounted files, decoded member by member on all executors; ranges come from a job, nothing from the driver."""
+    kernel.check_chunk_size(size)
+    found = (member_ranges(spark, path) if ranges is None else ranges).select("path", "index", "compressed_offset", "compressed_size", "uncompressed_offset")
+
+    def run(batches):
+        for batch in batches:
+            for file, index, start, length, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for n, (offset, data) in enumerate(even_chunks(_file_pieces(local_path(file), start, length), size)):
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([index], pa.int32()), pa.array([n], pa.int32()), pa.array([at + offset], pa.int64()), pa.array([data], pa.binary())], ["path", "member", "seq", "byte_offset", "data"])
+
+    return found.repartition("path", "index").mapInArrow(run, CHUNK_ROW)
+
+
 def member_payloads(df: DataFrame, ranges: DataFrame | None = None, content: str = "content") -> DataFrame:
     """path, index, payload: members decoded in parallel, one row and so one unit of work per member.
 
