@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gzframe import kernel
 from gzframe.functions import columns as C
 from gzframe.operators import relations as R
+from gzframe.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,8 @@ def zipped(text: Column | str = "text", **options) -> Column:
 
 
 LEN = "octet_length(encode(text))"
+#: Keys of rows that make one stream: streams grow in number, not in length.
+RUN = 5_000
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -234,7 +237,7 @@ def line_batches(spark, sf_dir):
 @query("SELECT event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def jsonl_events(spark, sf_dir):
     record = F.to_json(F.struct("event_id", "event_type", "value"))
-    run = F.col("event_id") % 64
+    run = F.floor(F.col("event_id") / RUN)
     lines = table(spark, sf_dir, "events").select(run.alias("run"), "event_id", F.concat(record, F.lit("\n")).alias("line"))
     files = R.encode_chunks(lines, ["run"], "event_id", "line", mtime=0)
     rows = R.gz_lines(files, ["run"], newline="\n").select(F.from_json("line", "event_id long, event_type string, value double").alias("e"))
@@ -264,10 +267,10 @@ def mtime_bounds(spark, sf_dir):
     return R.last_mtime(R.members(rows, ["event_id"]), ["event_id"])
 
 
-@query()
+@query("SELECT doc_id, true AS same FROM documents")
 def crc32_text(spark, sf_dir):
     rows = R.members(docs(spark, sf_dir).select("doc_id", "text", zipped().alias("content")), ["doc_id", "text"])
-    return rows.select("doc_id", F.col("crc32").alias("stored"), F.crc32(F.col("text").cast("binary")).alias("computed"))
+    return rows.select("doc_id", (F.col("crc32") == F.crc32(F.col("text").cast("binary"))).alias("same"))
 
 
 @query("SELECT doc_id, md5(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents")
@@ -277,9 +280,9 @@ def chunked_round_trip(spark, sf_dir):
     fed = blob.select("doc_id", F.posexplode(pieces).alias("n", "bytes"))
     out = R.decode_chunks(fed, ["doc_id"], "n", "bytes")
     whole = F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "data"))), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x.data))
-    joined = out.groupBy("doc_id").agg(whole.alias("p"))
-    empty = docs(spark, sf_dir).where("text = ''").select("doc_id", F.lit(b"").cast("binary").alias("p"))
-    return joined.unionByName(empty).select("doc_id", F.md5("p").alias("digest"), F.octet_length("p").cast("long").alias("size"))
+    # a stream without payload has no chunk
+    joined = blob.select("doc_id").join(out.groupBy("doc_id").agg(whole.alias("p")), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(b"").cast("binary")))
+    return joined.select("doc_id", F.md5("p").alias("digest"), F.octet_length("p").cast("long").alias("size"))
 
 
 @query(f"SELECT conv_id, count(*) AS members, CAST(sum({LEN}) AS BIGINT) AS uncompressed_size, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
@@ -308,6 +311,110 @@ def zero_fill_seek(spark, sf_dir):
     return R.streams(rows, ["doc_id"]).select("doc_id", F.col("uncompressed_size").alias("size"))
 
 
+def _as_members(b: Column) -> Column:
+    """The members of a stream, its trailer's fields among them."""
+    return C.gz_inspect(b).members
+
+
+@query("SELECT doc_id, left(text, 7) AS head, substring(text, 4, 9) AS middle, substring(text, 6) AS rest FROM documents")
+def text_reads(spark, sf_dir):
+    text = C.decode_text(C.gz_decompress(zipped()))
+    return docs(spark, sf_dir).select("doc_id", text.alias("t")).select("doc_id", C.read_text("t", 0, 7).alias("head"), C.read_text("t", 3, 9).alias("middle"), C.read_text("t", 5).alias("rest"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), l AS (SELECT doc_id, p, unnest(range(len(p))) AS i FROM p)
+SELECT doc_id, CAST(i AS BIGINT) AS line_no, CAST(octet_length(encode(p[i + 1])) + CASE WHEN i + 1 < len(p) THEN 1 ELSE 0 END AS BIGINT) AS bytes FROM l WHERE i + 1 < len(p) OR p[i + 1] <> ''""")
+def binary_lines(spark, sf_dir):
+    lines = C.split_binary_lines(C.gz_decompress(zipped()))
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(lines).alias("line_no", "line")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.octet_length("line").cast("long").alias("bytes"))
+
+
+@query(PRIORITY.format("substring(o_orderpriority || '|' || o_orderstatus, 4)"))
+def seek_from_start(spark, sf_dir):
+    return _orders(spark, sf_dir).select("o_orderkey", C.read_from("payload", C.seek_position("payload", 3, 0)).cast("string").alias("part"))
+
+
+@query("SELECT o_orderkey, substring(o_orderpriority || '|' || o_orderstatus, 5, 3) AS part, CAST(least(4, length(o_orderpriority) + 2) AS BIGINT) AS position FROM orders")
+def seek_from_here(spark, sf_dir):
+    # two bytes on from the second byte; then three are read
+    at = C.seek_position("payload", 2, 1, 2)
+    return _orders(spark, sf_dir).select("o_orderkey", C.read_from("payload", at, 3).cast("string").alias("part"), at.cast("long").alias("position"))
+
+
+@query("SELECT doc_id, md5(text) AS first, md5(text) AS again FROM documents")
+def rewind_and_read_again(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", C.gz_decompress(zipped()).alias("p"))
+    start = C.seek_position("p", 0, 0)
+    return rows.select("doc_id", F.md5("p").alias("first"), F.md5(C.read_from("p", start)).alias("again"))
+
+
+@query(f"""WITH l AS ({_lines_sql("chr(10)")}), o AS (SELECT doc_id, line_no, line, coalesce(sum(octet_length(encode(line))) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l)
+SELECT doc_id, line_no, line FROM o WHERE place >= 200""")
+def text_seek(spark, sf_dir):
+    return R.lines_from(R.with_offsets(_lines(spark, sf_dir, "\n", "\n"), ["doc_id"]), 200).select("doc_id", "line_no", "line")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def flushed_members(spark, sf_dir):
+    # a sync flush after every piece
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length("text") - 1, F.lit(0)) / 300)), lambda i: F.substring(F.col("text").cast("binary"), (i * 300 + 1).cast("int"), F.lit(300)))
+    fed = docs(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("n", "data"))
+    streams = R.encode_chunks(fed, ["doc_id"], "n", "data", mtime=0, flush_every=1)
+    return streams.select("doc_id", F.md5(C.gz_decompress("content")).alias("digest"))
+
+
+@query(f"SELECT doc_id, CAST({LEN} % 4294967296 AS BIGINT) AS isize FROM documents")
+def strict_size(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", _as_members(zipped(strict_size=True)).alias("m"))
+    return rows.select("doc_id", F.col("m")[0].trailer_isize.alias("isize"))
+
+
+def _with_header_checksum(c: Column, change: int) -> Column:
+    """The member with its header's checksum, ``change`` added to it."""
+    header = F.concat(F.substring(c, F.lit(1), F.lit(3)), F.unhex(F.lit("02")), F.substring(c, F.lit(5), F.lit(6)))
+    sum_ = F.lpad(F.hex((F.crc32(header) + change) % 65536), 4, "0")
+    return F.concat(header, F.unhex(F.concat(F.substring(sum_, 3, 2), F.substring(sum_, 1, 2))), F.substring(c, F.lit(11), F.octet_length(c)))
+
+
+@query(f"SELECT doc_id, CAST(2 AS BIGINT) AS flags, CAST({LEN} AS BIGINT) AS size, 'BAD_GZIP' AS error_class FROM documents")
+def header_checksum(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", _with_header_checksum(zipped(), 0).alias("good"), _with_header_checksum(zipped(), 1).alias("bad"))
+    v = rows.select("doc_id", _as_members("good").alias("m"), C.gz_verify("bad", mode="PERMISSIVE").alias("v"))
+    return v.select("doc_id", F.col("m")[0].flags.cast("long").alias("flags"), F.col("m")[0].uncompressed_size.alias("size"), F.col("v.error_class").alias("error_class"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents")
+def members_decoded_in_parallel(spark, sf_dir):
+    from gzframe.sources.reader import member_payloads
+
+    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.concat(zipped(F.lit("first")), zipped()).alias("content"))
+    second = member_payloads(rows).where("index = 1")
+    return second.select(F.col("path").cast("long").alias("doc_id"), F.md5("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
+
+
+@query("""SELECT e.event_id, max(d.doc_id) AS doc_id, max_by(octet_length(encode(d.text)), d.doc_id) AS size FROM events e JOIN documents d ON d.doc_id <= e.event_id AND d.doc_id > e.event_id - 50
+WHERE e.event_id % 7 = 0 GROUP BY e.event_id""")
+def as_of_join(spark, sf_dir):
+    # the last stream at or before each event, within 50: equal buckets of 50, this one and the one before
+    events = table(spark, sf_dir, "events").where("event_id % 7 = 0").select("event_id", F.explode(F.array(F.floor(F.col("event_id") / 50), F.floor(F.col("event_id") / 50) - 1)).alias("bucket"))
+    streams = R.streams(docs(spark, sf_dir).select("doc_id", zipped().alias("content")), ["doc_id"]).select("doc_id", "uncompressed_size", F.floor(F.col("doc_id") / 50).alias("bucket"))
+    pairs = events.join(streams, "bucket").where("doc_id <= event_id AND doc_id > event_id - 50")
+    return pairs.groupBy("event_id").agg(F.max("doc_id").alias("doc_id"), F.max_by("uncompressed_size", "doc_id").alias("size"))
+
+
+@query("SELECT mode, operation, is_text, plus FROM (VALUES ('rb', 'r', false, false), ('rt', 'r', true, false), ('wb', 'w', false, false), ('wt', 'w', true, false), ('ab', 'a', false, false), ('xb', 'x', false, false), ('bx+', 'x', false, true), ('rw', NULL, NULL, NULL), ('rbt', NULL, NULL, NULL), ('', NULL, NULL, NULL)) v(mode, operation, is_text, plus)")
+def mode_parser(spark, sf_dir):
+    from gzframe.sources.reader import parse_mode
+
+    rows = []
+    for mode in ("rb", "rt", "wb", "wt", "ab", "xb", "bx+", "rw", "rbt", ""):
+        try:
+            rows.append((mode, *parse_mode(mode)))
+        except ValueError:
+            rows.append((mode, None, None, None))
+    return spark.createDataFrame(rows, "mode string, operation string, is_text boolean, plus boolean")
+
+
 @query(f"""WITH l AS ({_lines_sql("chr(10)")}) SELECT doc_id, CAST(sum(ceil(length(line) / 50.0)) AS BIGINT) AS reads FROM l GROUP BY doc_id""")
 def limited_readline(spark, sf_dir):
     text = C.gz_decompress(zipped()).cast("string")
@@ -349,7 +456,7 @@ def lang_rollup(spark, sf_dir):
 def bulk_csv_lineitem(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     line = F.concat(F.concat_ws(",", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("string")), F.lit("\n"))
-    files = R.encode_chunks(t.select((F.col("l_orderkey") % 256).alias("run"), F.xxhash64("l_orderkey", "l_linenumber").alias("n"), line.alias("line")), ["run"], "n", "line", mtime=0)
+    files = R.encode_chunks(t.select((F.floor(F.col("l_orderkey") / RUN)).alias("run"), F.xxhash64("l_orderkey", "l_linenumber").alias("n"), line.alias("line")), ["run"], "n", "line", mtime=0)
     rows = R.gz_lines(files, ["run"], newline="\n").select(F.from_csv("line", F.lit("flag string, status string, quantity double")).alias("r"))
     return rows.groupBy(F.col("r.flag").alias("l_returnflag"), F.col("r.status").alias("l_linestatus")).agg(F.sum("r.quantity").alias("quantity"), F.count("*").alias("items"))
 
@@ -361,8 +468,12 @@ def engine_report(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from gzframe.plans import files
+
+    return QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from gzframe.plans import files
+
+    return SQL | files.SQL
