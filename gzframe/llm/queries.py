@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from gzframe.sources.tables import read_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,7 @@ SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS c
 
 
 def _license_sql() -> str:
-    from gzframe.llm.licenses import BAND, BASE, COVER, K, TEMPLATES
+    from gzframe.llm.licenses import BAND, BASE, COVER, TEMPLATES, VOTES, K
 
     rows = [(i, t, label, t in BASE) for i, (t, label) in enumerate([*BASE.items(), *TEMPLATES.items()])]
     values = ", ".join(f"({i}, '{t}', '{label}', {str(base).lower()})" for i, t, label, base in rows)
@@ -106,11 +107,17 @@ def _license_sql() -> str:
   tg AS (SELECT id, label, base, len(w) - {K - 1} AS grams, i - 1 AS tpos, {gram} AS g FROM (SELECT *, unnest(range(1, len(w) - {K - 2})) AS i FROM t)),
   d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
   dg AS (SELECT doc_id, i - 1 AS pos, {gram} AS g FROM (SELECT *, unnest(range(1, len(w) - {K - 2})) AS i FROM d)),
-  m AS (SELECT doc_id, id, label, base, grams, pos - tpos AS diagonal, count(*) AS matched, min(pos) AS first, max(pos) + {K - 1} AS last FROM dg JOIN tg USING (g) GROUP BY ALL),
-  n AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, id ORDER BY diagonal) > {BAND} THEN 1 ELSE 0 END AS new FROM m),
-  r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS span FROM n),
-  s AS (SELECT doc_id, id, label, base, span, min(diagonal) AS start, min(first) AS first, max(last) AS last, least(sum(matched) / grams, 1.0) AS cover FROM r GROUP BY doc_id, id, label, base, span, grams),
-  v AS (SELECT * FROM s WHERE cover >= CASE WHEN base THEN 1.0 ELSE {COVER} END),
+  hit AS MATERIALIZED (SELECT doc_id, id, label, base, grams, pos, tpos, pos - tpos AS diagonal FROM dg JOIN tg USING (g)),
+  exact AS (SELECT doc_id, id, label, base, diagonal AS start, min(pos) AS first, max(pos) + {K - 1} AS last, CAST(1 AS DOUBLE) AS cover FROM hit WHERE base GROUP BY doc_id, id, label, base, diagonal, grams HAVING count(*) = grams),
+  anchors AS (SELECT DISTINCT doc_id, id, diagonal AS anchor FROM hit WHERE NOT base),
+  -- each template word under a matching position, once
+  near AS (SELECT a.doc_id, a.id, a.anchor, h.label, h.grams, h.pos, h.tpos, unnest(range(h.tpos, h.tpos + {K})) AS word
+    FROM anchors a JOIN hit h ON h.doc_id = a.doc_id AND h.id = a.id AND h.diagonal BETWEEN a.anchor AND a.anchor + {BAND}),
+  close AS (SELECT doc_id, id, label, anchor, min(pos) AS first, max(pos) + {K - 1} AS last,
+      CASE WHEN count(DISTINCT tpos) >= {VOTES} * grams THEN count(DISTINCT word) / (grams + {K - 1}) ELSE 0 END AS cover FROM near GROUP BY doc_id, id, label, anchor, grams),
+  best AS (SELECT * FROM close x WHERE cover >= {COVER} AND NOT EXISTS (SELECT 1 FROM close y WHERE y.doc_id = x.doc_id AND y.id = x.id AND abs(y.anchor - x.anchor) <= {BAND}
+      AND (y.cover > x.cover OR y.cover = x.cover AND y.anchor < x.anchor))),
+  v AS (SELECT doc_id, id, label, base, start, first, last, cover FROM exact UNION ALL SELECT doc_id, id, label, false, anchor, first, last, cover FROM best),
   k AS (SELECT doc_id, label FROM v x WHERE base OR NOT EXISTS (SELECT 1 FROM v y WHERE y.doc_id = x.doc_id AND NOT y.base AND y.cover > x.cover AND y.first <= x.last AND x.first <= y.last)),
   a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, max(cover) AS score FROM v GROUP BY doc_id),
