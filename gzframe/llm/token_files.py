@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import zlib
 from functools import lru_cache
 
@@ -35,13 +36,16 @@ from gzframe.llm.common import bounded_batches, fresh_path, local_path, partitio
 
 NULL_ID = -(2**63)
 #: Encoded words kept by a worker; the cache starts anew when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 #: Words longer than this are encoded but not kept.
 CACHE_CHARS = 64
 #: Marks that a word can end with and that are always tokens of their own kind (no apostrophe, no special token's bracket).
 TAIL = ".,;:!?)]}%#*$&\"|"
 
 
+#: The end of the Latin, Greek and Cyrillic blocks, and the one letter whose lower case is a letter and a mark.
+PLAIN_BELOW, MARKED = "\u0530", "\u0130"
+
 # The normaliser and pre-tokenizer for which words can be encoded apart.
 BY_WORD = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -64,14 +68,17 @@ class Encoder:
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer, self.code = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype]
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def encoded(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 20_000):
-            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+            out += [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
         return out
 
     def __call__(self, texts: list[str | None], end: bytes) -> list[bytes]:
@@ -88,25 +95,45 @@ class WordEncoder(Encoder):
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of each word: one of ASCII lower-case letters alone is one piece for the library's model, others take its whole path."""
-        whole = [w for w in words if not (w.isascii() and w.isalpha() and w.islower())]
-        ready = dict(zip(whole, self.encoded(whole), strict=True))
-        model, dtype = self.tokenizer.model, self.dtype
-        return [ready[w] if w in ready else np.array([t.id for t in model.tokenize(w)], dtype=dtype).tobytes() for w in words]
+        plain = [w.isascii() and w.isalpha() and w.islower() for w in words]
+        ready = iter(self.encoded([w for w, p in zip(words, plain, strict=True) if not p]))
+        tokenize, packed = self.tokenizer.model.tokenize, self.packed
+        return [packed([t.id for t in tokenize(w)]) if p else next(ready) for w, p in zip(words, plain, strict=True)]
 
     def learn(self, words: list[str]) -> None:
         """Put the ids of ``words`` in the cache, by their core and tail where that is exact."""
-        cores = self.cores
-        split = []
+        cores, cache = self.cores, self.cache
+        whole, cased, tailed = [], [], []
         for w in words:
+            if w.isalnum():
+                # ASCII letters lose their case in the tokenizer too
+                if w.isascii() and (low := w.lower()) != w:
+                    cased.append((w, low))
+                else:
+                    whole.append(w)
+                continue
             core = w.rstrip(TAIL)
-            # ASCII letters lose their case in the tokenizer too; beyond ASCII a lower-case form may end in a mark, which joins the tail
-            if core and core.isascii() and core.isalnum():
-                split.append((core.lower(), w[len(core) :]))
+            if len(core) == len(w) or not core.isalnum():
+                whole.append(w)
+            elif core.isascii():
+                tailed.append((w, core.lower(), w[len(core) :]))
+            elif max(core) < PLAIN_BELOW and MARKED not in core:
+                # long-established letters stay letters or digits whatever is done to them, but for the one whose lower case ends in a mark
+                tailed.append((w, core, w[len(core) :]))
             else:
-                split.append((w, ""))
-        missing = list({x for pair in split for x in pair if x not in cores})
-        cores.update(zip(missing, self.ids_of(missing), strict=True))
-        self.cache.update((w, cores[a] + cores[b]) for w, (a, b) in zip(words, split, strict=True))
+                whole.append(w)
+        cache.update(zip(whole, self.ids_of(whole), strict=True))
+        missing = {k for _, k in cased}
+        for _, core, tail in tailed:
+            missing.add(core)
+            missing.add(tail)
+        new = [k for k in missing if k not in cores and k not in cache]
+        cores.update(zip(new, self.ids_of(new), strict=True))
+        known = lambda k: cores[k] if k in cores else cache[k]
+        for w, k in cased:
+            cache[w] = known(k)
+        for w, core, tail in tailed:
+            cache[w] = known(core) + known(tail)
 
     def __call__(self, texts: list[str | None], end: bytes) -> list[bytes]:
         # str.split() ends words at all white space of the tokenizer and at 0x1C-0x1F, which are none for it
