@@ -56,7 +56,7 @@ HOT = 400_000
 
 
 #: What is kept of a history: its count, the lower-order probability of its continuations, and how many occurred 1..GT times.
-STATS = ["total", "below", *(f"n{r}" for r in range(1, GT + 1))]
+STATS = {"total": "<f8", "below": "<f8"} | {f"n{r}": "<u4" for r in range(1, GT + 1)}
 
 
 def pieces(texts: list[str | None]):
@@ -121,6 +121,11 @@ def _save(folder: str, bucket: int, **arrays) -> None:
         os.replace(tmp, f"{folder}/{bucket:06d}.{name}")
 
 
+def _counts_of(n: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all of a bucket's fit, else in 64; a file's size tells which."""
+    return n.astype("<u4" if n.max(initial=0) < 2**32 else "<u8")
+
+
 def _find(level: Level, keys: np.ndarray, by: np.ndarray, key_file: str, value_files: list[tuple[str, str]]) -> list[np.ndarray]:
     """Look sorted-by-bucket ``keys`` up in a level's files; ``by`` gives their buckets. Zero where absent."""
     out = [np.zeros(len(keys), kind) for _, kind in value_files]
@@ -136,7 +141,10 @@ def _find(level: Level, keys: np.ndarray, by: np.ndarray, key_file: str, value_f
         where[where == len(table)] = 0
         hit = table[where] == keys[at]
         for o, (name, kind) in zip(out, value_files, strict=True):
-            o[at[hit]] = _mapped(f"{level.folder}/{b:06d}.{name}", kind)[where[hit]]
+            path = f"{level.folder}/{b:06d}.{name}"
+            if name == "counts" and os.path.getsize(path) == 4 * len(table):
+                kind = "<u4"
+            o[at[hit]] = _mapped(path, kind)[where[hit]]
     return out
 
 
@@ -180,9 +188,9 @@ class Model:
         (count,) = _find(level, entry_keys(history, words), _of_entry(history, words, level.buckets, level.hot), "keys", [("counts", "<u8")])
         count = count.astype(np.float64)
         by = np.where(is_in(history, level.hot), level.buckets, _of(history, level.buckets))
-        stats = _find(level, history, by, "histories", [(name, "<f8") for name in STATS])
+        stats = _find(level, history, by, "histories", list(STATS.items()))
         total, below = stats[0], stats[1]
-        gone = sum((1 - level.discount[r]) * r * stats[1 + r] for r in range(1, GT + 1))
+        gone = sum((1 - level.discount[r]) * r * stats[1 + r].astype(np.float64) for r in range(1, GT + 1))
         spare = np.where(gone == 0, SPARE, 0.0)
         with np.errstate(divide="ignore", invalid="ignore"):
             seen = count * level.discount[np.minimum(count, GT + 1).astype(np.int64)] / (total + spare)
@@ -255,12 +263,12 @@ def _merge(order: int, folder: str, lower: Model, hot: np.ndarray, hot_from: int
         rows = [(COUNTS, int(x), [float((count == x).sum())]) for x in r] + [(COUNTS, 0, [float(len(count))]), (COUNTS, -1, [float(count.sum())])]
         often = count >= hot_from
         if order == 1:
-            _save(folder, bucket, keys=w, counts=count.astype("<u8"))
+            _save(folder, bucket, keys=w, counts=_counts_of(count))
             after = mix(w[often] + np.uint64(1))
         else:
             key = entry_keys(h, w)
             k = np.argsort(key)
-            _save(folder, bucket, keys=key[k], counts=count[k].astype("<u8"))
+            _save(folder, bucket, keys=key[k], counts=_counts_of(count[k]))
             below = lower.unigrams(w)[1]
             if order > 2:
                 # at order three the shorter history is one word; deeper ones would nest their own shorter histories
@@ -269,7 +277,7 @@ def _merge(order: int, folder: str, lower: Model, hot: np.ndarray, hot_from: int
             stats = np.stack([np.add.reduceat(v, first) for v in (count.astype("<f8"), below, *((count == x).astype("<f8") for x in r[:-1]))])
             apart = is_in(h[first], hot)
             rows += [(PARTIAL, int(v), list(map(float, s))) for v, s in zip(h[first][apart].view(np.int64), stats[:, apart].T, strict=True)]
-            _save(folder, bucket, histories=h[first][~apart], **dict(zip(STATS, stats[:, ~apart], strict=True)))
+            _save(folder, bucket, histories=h[first][~apart], **{name: v.astype(kind) for (name, kind), v in zip(STATS.items(), stats[:, ~apart], strict=True)})
             # the word before, from its history's hash; at order two that is one word
             after = mix(mix(w[often] + np.uint64(1)) + (unmix(h[often]) - np.uint64(1)) + np.uint64(2)) if order == 2 else np.zeros(0, np.uint64)
         rows += [(OFTEN, int(v), []) for v in after.view(np.int64)]
@@ -298,7 +306,7 @@ def train(docs: DataFrame, order: int = 2, folder: str | None = None, hot_from:
             sums = found.where(F.col("kind") == PARTIAL).groupBy("value").agg(*(F.sum(F.get("stats", F.lit(i))).alias(name) for i, name in enumerate(STATS))).toArrow()
             own = sums["value"].to_numpy().view(np.uint64)
             sort = np.argsort(own)
-            _save(at, buckets, histories=own[sort], **{name: sums[name].to_numpy()[sort] for name in STATS})
+            _save(at, buckets, histories=own[sort], **{name: sums[name].to_numpy()[sort].astype(kind) for name, kind in STATS.items()})
         if k == 1:
             total = level.total
             if total:
