@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import codecs
 import warnings
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -30,11 +31,11 @@ ARROW_MEMBER = pa.struct(
 )
 
 
-def scanned(data: bytes | None, limit: int | None, mode: str, collect: bool, keep: bool = False):
-    """(report, payload, error) of one value; FAILFAST raises, PERMISSIVE returns the error."""
+def scanned(data: bytes | Iterable[bytes], limit: int | None, mode: str, collect: bool, keep: bool = False):
+    """(report, payload, error) of one value, or of the pieces of one; FAILFAST raises, PERMISSIVE returns the error."""
     report, out, error = kernel.Report(), [], None
     try:
-        for part in kernel.scan(kernel.pieces(data), report, limit=limit, collect=collect):
+        for part in kernel.scan(kernel.pieces(data) if isinstance(data, bytes) else data, report, limit=limit, collect=collect):
             if keep:
                 out.append(part)
     except kernel.GzipStreamError as e:

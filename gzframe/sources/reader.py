@@ -1,8 +1,10 @@
 """Reading gzip files as relations, and the ``gzstream`` data source.
 
-``GzReader`` reads through Spark's own ``binaryFile`` source, so any Hadoop
-path works and file pruning is Spark's. Files too large for one row are read
-by the ``gzstream`` source in bounded pieces, member-parallel on request."""
+``GzReader`` finds files through Spark's own ``binaryFile`` source, so any
+Hadoop path works and file pruning is Spark's. Relations of ``mounted`` read
+files of a mounted path in bounded pieces; all others, and other paths, have a
+file in one row. Files too large for that are also read by the ``gzstream``
+source in bounded pieces, member-parallel on request."""
 
 from __future__ import annotations
 
@@ -22,7 +24,9 @@ from gzframe import kernel
 from gzframe.functions import columns as C
 from gzframe.functions.table import even_chunks
 from gzframe.operators import relations as R
-from gzframe.sources.shared import local_path
+from gzframe.sources import mounted
+from gzframe.sources.shared import file_pieces as _file_pieces
+from gzframe.sources.shared import is_mounted, local_path
 
 
 def parse_mode(mode: str) -> tuple[str, bool, bool]:
@@ -45,7 +49,7 @@ class GzReader:
     OPTIONS = {"encoding": "utf-8", "errors": "strict", "newline": None, "max_decompressed_size": None, "mode": "FAILFAST", "chunk_size": kernel.CHUNK, "hint": 2**20}
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.options, self.df = spark, dict(self.OPTIONS), None
+        self.spark, self.options, self.df, self.mounted = spark, dict(self.OPTIONS), None, False
 
     def option(self, **options) -> GzReader:
         if unknown := set(options) - set(self.OPTIONS):
@@ -61,6 +65,7 @@ class GzReader:
     def load(self, path: str | list[str]) -> GzReader:
         """A file, folder, glob or list of them, on any file system that Spark reads."""
         self.df = self.spark.read.format("binaryFile").load(path)
+        self.mounted = is_mounted(self.spark, path)
         return self
 
     def files(self) -> DataFrame:
@@ -93,6 +98,8 @@ class GzReader:
         return self.payload().select("path", C.translate_on_read(C.decode_text("payload", self.options["encoding"], self.options["errors"]), self.options["newline"]).alias("text"))
 
     def lines(self) -> DataFrame:
+        if self.mounted:
+            return mounted.lines(self.df, self.options["newline"], self.options["encoding"], self.options["errors"], max_decompressed_size=self.options["max_decompressed_size"], mode=self.options["mode"])
         plain = self.payload().select("path", C.decode_text("payload", self.options["encoding"], self.options["errors"]).alias("_t"))
         return R.lines(plain, ["path"], "_t", self.options["newline"])
 
@@ -143,18 +150,6 @@ def write(df: DataFrame, filename: str, mode: str = "wb", **options) -> None:
 # --- the data source ----------------------------------------------------------
 
 
-def _file_pieces(path: str, start: int = 0, size: int | None = None, piece: int = kernel.CHUNK) -> Iterator[bytes]:
-    with open(path, "rb") as f:
-        f.seek(start)
-        left = size
-        while left is None or left > 0:
-            data = f.read(piece if left is None else min(piece, left))
-            if not data:
-                return
-            left = None if left is None else left - len(data)
-            yield data
-
-
 def _files(path: str) -> list[str]:
     """The visible files of a file, folder or glob."""
     found = sorted(glob.glob(path)) or [path]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
+from gzframe import kernel
+
 #: Used only where a session on one machine names no shared folder.
 FALLBACK_SHARED = "file:///tmp/checkpoints"
 
@@ -44,3 +47,21 @@ def local_path(uri: str) -> str:
     if "://" in uri:
         raise ValueError(f"this needs a mounted path, not {uri}")
     return os.path.abspath(uri)
+
+
+def is_mounted(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether Spark itself takes the path or paths for files of the machine's own file system, which Python on the executors can open too."""
+    to_path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    return all(to_path(p).getFileSystem(conf).getUri().getScheme() == "file" for p in ([path] if isinstance(path, str) else path))
+
+
+def file_pieces(path: str, start: int = 0, size: int | None = None, piece: int = kernel.CHUNK) -> Iterator[bytes]:
+    with open(path, "rb") as f:
+        f.seek(start)
+        left = size
+        while left is None or left > 0:
+            data = f.read(piece if left is None else min(piece, left))
+            if not data:
+                return
+            left = None if left is None else left - len(data)
+            yield data
