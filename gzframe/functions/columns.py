@@ -90,7 +90,8 @@ def _error(e):
     return {"error_class": e.error_class if e else None, "error_message": str(e) if e else None}
 
 
-def _verify(d, limit, mode):
+def verified(d: bytes | Iterable[bytes], limit: int | None, mode: str) -> dict:
+    """``VERIFIED`` of one value, or of the pieces of one."""
     r, _, e = scanned(d, limit, mode, False)
     return {"member_count": r.member_count, "compressed_size": r.compressed_size, "uncompressed_size": r.uncompressed_size} | _error(e)
 
@@ -107,8 +108,9 @@ def _recover(d, limit, mode):
 
 _ERR = [("error_class", pa.string()), ("error_message", pa.string())]
 _SIZES = [("member_count", pa.int32()), ("compressed_size", pa.int64()), ("uncompressed_size", pa.int64())]
+ARROW_VERIFIED = _SIZES + _ERR
 _as_payload = _codec("binary", lambda d, limit, mode: (lambda x: None if x[2] else x[1])(scanned(d, limit, mode, False, True)), pa.binary())
-_as_verified = _codec(VERIFIED, _verify, pa.struct(_SIZES + _ERR))
+_as_verified = _codec(VERIFIED, verified, pa.struct(ARROW_VERIFIED))
 _as_inspected = _codec(INSPECTED, _inspect, pa.struct([("members", pa.list_(ARROW_MEMBER)), *_SIZES, *_ERR]))
 _as_recovered = _codec(RECOVERED, _recover, pa.struct([("payload_prefix", pa.binary()), ("member_count", pa.int32()), *_ERR]))
 
@@ -248,7 +250,7 @@ def register(spark) -> None:
 
     @arrow_udf(VERIFIED)
     def verify(data: pa.Array) -> pa.Array:
-        return pa.array([None if d is None else _verify(d, None, "PERMISSIVE") for d in data.to_pylist()], pa.struct(_SIZES + _ERR))
+        return pa.array([None if d is None else verified(d, None, "PERMISSIVE") for d in data.to_pylist()], pa.struct(ARROW_VERIFIED))
 
     @arrow_udf(INSPECTED)
     def inspect(data: pa.Array) -> pa.Array:

@@ -83,3 +83,16 @@ def lines(df: DataFrame, newline: str | None = None, encoding: str = "utf-8", er
             yield from line_batches(path, newline, encoding, errors, max_decompressed_size, mode)
 
     return df.select("path").mapInArrow(run, "path string, line_no bigint, line string")
+
+
+def streams(df: DataFrame, *, max_decompressed_size: int | None = None, mode: str = "FAILFAST") -> DataFrame:
+    """``relations.streams`` of the files that ``df`` names in ``path``."""
+    kernel.check_positive(max_decompressed_size, "max_decompressed_size")
+    mode = C.check_mode(mode)
+
+    def run(batches):
+        for path in _paths(batches):
+            found = C.verified(file_pieces(local_path(path)), max_decompressed_size, mode)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), *(pa.array([found[name]], kind) for name, kind in C.ARROW_VERIFIED)], ["path", *found])
+
+    return df.select("path").mapInArrow(run, f"path string, {C.VERIFIED.removeprefix('struct<').removesuffix('>').replace(':', ' ')}")

@@ -73,6 +73,8 @@ class GzReader:
         return self.df.drop("content")
 
     def streams(self) -> DataFrame:
+        if self.mounted:
+            return mounted.streams(self.df, max_decompressed_size=self.options["max_decompressed_size"], mode=self.options["mode"])
         return R.streams(self.df, ["path"], max_decompressed_size=self.options["max_decompressed_size"], mode=self.options["mode"])
 
     verify = streams

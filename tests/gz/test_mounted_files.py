@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import pytest
 
+from gzframe.operators import relations as R
 from gzframe.sources import mounted
 from gzframe.sources.reader import GzReader, read
 from tests.gz.build import CORRUPT, member
@@ -70,3 +71,17 @@ def test_no_line_of_a_stream_that_is_not_valid(spark, tmp_path):
     assert [r.line for r in read(spark, str(tmp_path / "1.gz"), "rt", errors="replace").collect()] == ["�\n"]
     with pytest.raises(Exception, match="exceeded 3 bytes"):
         read(spark, str(tmp_path / "0.gz"), "rt", max_decompressed_size=3).collect()
+
+
+def test_appended_files_verified_without_the_content_in_a_row(spark, tmp_path):
+    (tmp_path / "0.gz").write_bytes(member(b"one") + member(b"three") + b"\0\0")
+    (tmp_path / "1.gz").write_bytes(member(b"four") + CORRUPT["crc"])
+    reader = GzReader(spark).load(str(tmp_path))
+    want = R.streams(reader.df, ["path"], mode="PERMISSIVE").orderBy("path")
+    with no_content(spark):
+        got = reader.option(mode="PERMISSIVE").streams().orderBy("path")
+        rows = got.collect()
+        with pytest.raises(Exception, match="CRC-32"):
+            reader.option(mode="FAILFAST").verify().collect()
+    assert rows == want.collect() and got.dtypes == want.dtypes
+    assert [(r.member_count, r.uncompressed_size, r.error_class) for r in rows[:1]] == [(2, 8, None)] and rows[1].error_class == "BAD_GZIP"
