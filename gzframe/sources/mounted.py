@@ -6,6 +6,7 @@ or more of its lines than a batch. A file can be larger than a value."""
 from __future__ import annotations
 
 import codecs
+import hashlib
 import io
 from collections.abc import Iterator
 
@@ -96,3 +97,38 @@ def streams(df: DataFrame, *, max_decompressed_size: int | None = None, mode: st
             yield pa.RecordBatch.from_arrays([pa.array([path]), *(pa.array([found[name]], kind) for name, kind in C.ARROW_VERIFIED)], ["path", *found])
 
     return df.select("path").mapInArrow(run, f"path string, {C.VERIFIED.removeprefix('struct<').removesuffix('>').replace(':', ' ')}")
+
+
+def digest(path: str, text: tuple[str | None, str, str] | None, limit: int | None, mode: str) -> str | None:
+    """MD5 of one file's payload or, with ``text`` (newline, encoding, errors), of its text in UTF-8; null in PERMISSIVE mode where the stream is not valid."""
+    found = hashlib.md5(usedforsecurity=False)
+    try:
+        if text:
+            f = _text(path, *text, limit)
+            for part in iter(lambda: f.read(kernel.CHUNK), ""):
+                found.update(part.encode())
+        else:
+            for part in _scan(path, limit):
+                found.update(part)
+    except UnicodeDecodeError as e:
+        raise ValueError(f"DECODE: {e}") from None
+    except kernel.GzipStreamError:
+        if mode != "PERMISSIVE":
+            raise
+        return None
+    return found.hexdigest()
+
+
+def digests(df: DataFrame, text: tuple[str | None, str, str] | None = None, *, max_decompressed_size: int | None = None, mode: str = "FAILFAST") -> DataFrame:
+    """``path``, digest of the files that ``df`` names in ``path``, as ``digest`` has it."""
+    if text:
+        C.check_newline(text[0])
+        codecs.lookup(text[1])
+    kernel.check_positive(max_decompressed_size, "max_decompressed_size")
+    mode = C.check_mode(mode)
+
+    def run(batches):
+        for path in _paths(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest(path, text, max_decompressed_size, mode)], pa.string())], ["path", "digest"])
+
+    return df.select("path").mapInArrow(run, "path string, digest string")

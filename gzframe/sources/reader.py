@@ -91,6 +91,12 @@ class GzReader:
         limit = self.options["max_decompressed_size"] or C.DEFAULT_LIMIT
         return self.df.select("path", C.gz_decompress("content", max_decompressed_size=limit, mode=self.options["mode"]).alias("payload"))
 
+    def digests(self) -> DataFrame:
+        """path, digest: the MD5 of each whole payload, as ``md5(payload)`` gives it for a payload that fits in a row."""
+        if self.mounted:
+            return mounted.digests(self.df, max_decompressed_size=self.options["max_decompressed_size"], mode=self.options["mode"])
+        return self.payload().select("path", F.md5("payload").alias("digest"))
+
     def recovered(self) -> DataFrame:
         """Bytes decoded before a failure, as recovery data that nothing has verified."""
         limit = self.options["max_decompressed_size"] or C.DEFAULT_LIMIT

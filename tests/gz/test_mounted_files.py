@@ -1,5 +1,6 @@
 """Files of a mounted path are read in bounded pieces: no relation here may have a file or its payload in a row."""
 
+import hashlib
 import io
 import random
 import tracemalloc
@@ -8,6 +9,7 @@ from contextlib import contextmanager
 import pytest
 
 from gzframe.operators import relations as R
+from gzframe.plans import files
 from gzframe.sources import mounted
 from gzframe.sources.reader import GzReader, read
 from tests.gz.build import CORRUPT, member
@@ -85,3 +87,23 @@ def test_appended_files_verified_without_the_content_in_a_row(spark, tmp_path):
             reader.option(mode="FAILFAST").verify().collect()
     assert rows == want.collect() and got.dtypes == want.dtypes
     assert [(r.member_count, r.uncompressed_size, r.error_class) for r in rows[:1]] == [(2, 8, None)] and rows[1].error_class == "BAD_GZIP"
+
+
+def test_whole_files_digested_without_the_content_in_a_row(spark, tmp_path):
+    put(tmp_path, TEXTS)
+    (tmp_path / "99.gz").write_bytes(CORRUPT["crc"])
+    reader = GzReader(spark).option(mode="PERMISSIVE").load(str(tmp_path))
+    with no_content(spark):
+        got = {int(r.path.rsplit("/", 1)[1][:-3]): r.digest for r in reader.digests().collect()}
+        with pytest.raises(Exception, match="CRC-32"):
+            reader.option(mode="FAILFAST").digests().collect()
+    assert got == {99: None} | {i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(TEXTS)}
+
+
+def test_query_of_whole_files_without_the_content_in_a_row(spark):
+    folder = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect():
+        want.setdefault(f"docs-{r.lang}", hashlib.md5()).update(r.text.encode())
+    with no_content(spark):
+        assert {r.name: r.digest for r in files.files_read_whole(spark, folder).collect()} == {k: v.hexdigest() for k, v in want.items()}
