@@ -107,3 +107,11 @@ def test_query_of_whole_files_without_the_content_in_a_row(spark):
         want.setdefault(f"docs-{r.lang}", hashlib.md5()).update(r.text.encode())
     with no_content(spark):
         assert {r.name: r.digest for r in files.files_read_whole(spark, folder).collect()} == {k: v.hexdigest() for k, v in want.items()}
+
+
+def test_lines_of_universal_newlines_without_the_content_in_a_row(spark, tmp_path):
+    put(tmp_path, TEXTS)
+    with no_content(spark):
+        got = by_file(read(spark, str(tmp_path), "rt").collect())
+    for i, t in enumerate(TEXTS):
+        assert got.get(i, []) == list(enumerate(io.TextIOWrapper(io.BytesIO(t.encode()), "utf-8")))
