@@ -105,6 +105,13 @@ class GzReader:
     def text(self) -> DataFrame:
         return self.payload().select("path", C.translate_on_read(C.decode_text("payload", self.options["encoding"], self.options["errors"]), self.options["newline"]).alias("text"))
 
+    def text_digests(self) -> DataFrame:
+        """path, digest: the MD5 of each whole text in UTF-8, as ``md5(text)`` gives it for a text that fits in a row."""
+        if self.mounted:
+            text = self.options["newline"], self.options["encoding"], self.options["errors"]
+            return mounted.digests(self.df, text, max_decompressed_size=self.options["max_decompressed_size"], mode=self.options["mode"])
+        return self.text().select("path", F.md5("text").alias("digest"))
+
     def lines(self) -> DataFrame:
         if self.mounted:
             return mounted.lines(self.df, self.options["newline"], self.options["encoding"], self.options["errors"], max_decompressed_size=self.options["max_decompressed_size"], mode=self.options["mode"])

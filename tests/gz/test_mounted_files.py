@@ -115,3 +115,13 @@ def test_lines_of_universal_newlines_without_the_content_in_a_row(spark, tmp_pat
         got = by_file(read(spark, str(tmp_path), "rt").collect())
     for i, t in enumerate(TEXTS):
         assert got.get(i, []) == list(enumerate(io.TextIOWrapper(io.BytesIO(t.encode()), "utf-8")))
+
+
+@pytest.mark.parametrize("newline", [None, "", "\r"])
+def test_whole_texts_digested_without_the_content_in_a_row(spark, tmp_path, newline):
+    put(tmp_path, TEXTS)
+    reader = GzReader(spark).option(newline=newline).load(str(tmp_path))
+    want = {r.path: hashlib.md5(r.text.encode()).hexdigest() for r in reader.text().collect()}
+    with no_content(spark):
+        got = reader.text_digests().collect()
+    assert {r.path: r.digest for r in got} == want and len(got) == len(TEXTS)
