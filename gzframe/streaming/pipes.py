@@ -12,6 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from gzframe.functions import columns as C
 from gzframe.operators import relations as R
+from gzframe.sources import mounted
+from gzframe.sources.shared import is_mounted
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -23,7 +25,9 @@ def stream_files(spark: SparkSession, folder: str, max_files: int | None = None)
 
 
 def stream_lines(spark: SparkSession, folder: str, *, newline: str | None = None, max_files: int | None = None) -> DataFrame:
-    """path, line_no, line of files as they arrive, with all checks."""
+    """path, line_no, line of files as they arrive, with all checks; files of a mounted path are read in bounded pieces."""
+    if is_mounted(spark, folder):
+        return mounted.lines(stream_files(spark, folder, max_files), newline)
     return R.gz_lines(stream_files(spark, folder, max_files), ["path"], newline=newline)
 
 

@@ -12,6 +12,7 @@ from gzframe.operators import relations as R
 from gzframe.plans import files
 from gzframe.sources import mounted
 from gzframe.sources.reader import GzReader, read
+from gzframe.streaming import pipes
 from tests.gz.build import CORRUPT, member
 
 TEXTS = ["", "\n", "\r", "\r\n\n\r\r\n\n\r\n\r" * 30, "no end", "é\r\n日本\rend\n" * 40_000, *("".join(random.Random(k).choices("ab\n\r\x0b\x85é ", k=200)) for k in range(9))]
@@ -125,3 +126,15 @@ def test_whole_texts_digested_without_the_content_in_a_row(spark, tmp_path, newl
     with no_content(spark):
         got = reader.text_digests().collect()
     assert {r.path: r.digest for r in got} == want and len(got) == len(TEXTS)
+
+
+def test_stream_of_lines_without_the_content_in_a_row(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in", TEXTS)
+    with no_content(spark):
+        lines = pipes.stream_lines(spark, str(tmp_path / "in"), newline="\n", max_files=4)
+        q = lines.writeStream.format("memory").queryName("mounted_lines").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    got = by_file(spark.table("mounted_lines").collect())
+    for i, t in enumerate(TEXTS):
+        assert got.get(i, []) == list(enumerate(io.TextIOWrapper(io.BytesIO(t.encode()), "utf-8", newline="\n")))
