@@ -8,6 +8,7 @@ source in bounded pieces, member-parallel on request."""
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import json
 import os
@@ -145,6 +146,24 @@ def read(spark: SparkSession, filename: str | list[str], mode: str = "rb", **opt
     return reader.lines() if text else reader.payload()
 
 
+#: Bytes after which a batch of rows goes to a task of the sink. Both sides of the task hold a batch more than once.
+BATCH_BYTES = 2**21
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def _bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of ``BATCH_BYTES`` unless the session itself says how large they are."""
+    if spark.conf.get(_BATCH_SETTING, None) is not None:
+        yield
+        return
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_SETTING)
+
+
 def write(df: DataFrame, filename: str, mode: str = "wb", **options) -> None:
     """``open`` for writing: ``df`` (name, data) goes to ``<name>.gz`` files of the folder ``filename``."""
     operation, text, _ = parse_mode(mode)
@@ -159,7 +178,8 @@ def write(df: DataFrame, filename: str, mode: str = "wb", **options) -> None:
     if operation == "w":
         options["truncate"] = "true"
     register_source(df.sparkSession)
-    writer.options(**{k: str(v) for k, v in options.items() if v is not None}).save(filename)
+    with _bounded_batches(df.sparkSession):
+        writer.options(**{k: str(v) for k, v in options.items() if v is not None}).save(filename)
 
 
 # --- the data source ----------------------------------------------------------
@@ -242,7 +262,7 @@ class GzWriterSource(DataSourceArrowWriter):
 
     Rows of one name in a task make one member, which is encoded as they
     arrive. A name that several tasks write, or that exists already, gets its
-    members appended. Every file is replaced by one rename, and what a commit
+    members appended, in the order of the tasks. Every file is replaced by one rename, and what a commit
     does is written down first: a commit that is run again after a crash
     leaves the same files. Mode ``overwrite`` removes other ``.gz`` files of
     the folder, after the new ones are there, and nothing else. The commit

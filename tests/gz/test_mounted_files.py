@@ -7,11 +7,12 @@ import tracemalloc
 from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import functions as F
 
 from gzframe.operators import relations as R
 from gzframe.plans import files
-from gzframe.sources import mounted
-from gzframe.sources.reader import GzReader, read
+from gzframe.sources import mounted, reader
+from gzframe.sources.reader import GzReader, read, write
 from gzframe.streaming import pipes
 from tests.gz.build import CORRUPT, member
 
@@ -118,6 +119,49 @@ def test_lines_of_universal_newlines_without_the_content_in_a_row(spark, tmp_pat
         assert got.get(i, []) == list(enumerate(io.TextIOWrapper(io.BytesIO(t.encode()), "utf-8")))
 
 
+def test_file_of_text_lines_is_written_by_several_tasks_in_order(spark):
+    folder, want = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect():
+        want[f"docs-{r.lang}"] = want.get(f"docs-{r.lang}", "") + r.text + "\n"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = files._text_files(spark, folder, "\r\n")
+        rows = files.files_text_lines(spark, folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.member_count for r in GzReader(spark).load(path).verify().collect()) > len(want)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.name, r.line_no)):
+        got.setdefault(r.name, []).append((r.line_no, r.line))
+    assert got == {k: list(enumerate(io.StringIO(v, newline="\n"))) for k, v in want.items()}
+
+
+class Batches(reader.GzWriterSource):
+    """Leaves the sizes of its batches beside the folder."""
+
+    def write(self, iterator):
+        sizes = []
+        out = super().write(sizes.append(b.nbytes) or b for b in iterator)
+        with open(f"{self.folder}-batches", "a") as f:
+            f.writelines(f"{n}\n" for n in sizes)
+        return out
+
+
+class Watched(reader.GzStreamSource):
+    def writer(self, schema, overwrite):
+        return Batches(dict(self.options), overwrite)
+
+
+def test_task_of_the_sink_gets_rows_in_small_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reader, "register_source", lambda spark: spark.dataSource.register(Watched))
+    rows = spark.range(0, 800, 1, 1).select(F.lit("a").alias("name"), F.repeat(F.lit("x\n"), 25_000).alias("data"))
+    write(rows, str(tmp_path / "out"), "wt", newline="\n")
+    sizes = [int(x) for x in (tmp_path / "out-batches").read_text().split()]
+    assert sum(sizes) >= 800 * 50_000 and max(sizes) < 2 * reader.BATCH_BYTES
+    assert GzReader(spark).load(str(tmp_path / "out")).verify().first().uncompressed_size == 800 * 50_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
 @pytest.mark.parametrize("newline", [None, "", "\r"])
 def test_whole_texts_digested_without_the_content_in_a_row(spark, tmp_path, newline):
     put(tmp_path, TEXTS)
